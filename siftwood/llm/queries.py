@@ -2,10 +2,14 @@
 
 from siftwood.llm.language_id import op1_language_id
 from siftwood.llm.line_dedup import OP2_SQL, op2_line_dedup
+from siftwood.llm.secret_scan import op3_secret_scan
+from siftwood.llm.sharding import op6_sharding
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op6_sharding": op6_sharding,
 }
 
 ORACLES = {
