@@ -1,7 +1,10 @@
 """The registered queries of this subpackage and the SQL that checks them."""
 
+from siftwood.llm.bpe import op10_bpe
 from siftwood.llm.language_id import op1_language_id
 from siftwood.llm.line_dedup import OP2_SQL, op2_line_dedup
+from siftwood.llm.quality_classifier import op9_quality_classifier
+from siftwood.llm.quality_rules import op8_quality_rules
 from siftwood.llm.secret_scan import op3_secret_scan
 from siftwood.llm.sharding import op6_sharding
 
@@ -10,6 +13,9 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op6_sharding": op6_sharding,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
