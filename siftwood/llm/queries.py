@@ -7,11 +7,13 @@ from siftwood.llm.quality_classifier import op9_quality_classifier
 from siftwood.llm.quality_rules import op8_quality_rules
 from siftwood.llm.secret_scan import op3_secret_scan
 from siftwood.llm.sharding import op6_sharding
+from siftwood.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_warc": op4_warc,
     "op6_sharding": op6_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
@@ -20,4 +22,5 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
+    "op4_warc": OP4_SQL,
 }
