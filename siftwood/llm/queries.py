@@ -3,6 +3,7 @@
 from siftwood.llm.bpe import op10_bpe
 from siftwood.llm.language_id import op1_language_id
 from siftwood.llm.line_dedup import OP2_SQL, op2_line_dedup
+from siftwood.llm.near_dedup import op5_near_dedup
 from siftwood.llm.quality_classifier import op9_quality_classifier
 from siftwood.llm.quality_rules import op8_quality_rules
 from siftwood.llm.secret_scan import op3_secret_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
+    "op5_near_dedup": op5_near_dedup,
     "op6_sharding": op6_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
