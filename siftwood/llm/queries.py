@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and the SQL that checks them."""
 
 from siftwood.llm.bpe import op10_bpe
+from siftwood.llm.decontaminate import op7_decontaminate
 from siftwood.llm.language_id import op1_language_id
 from siftwood.llm.line_dedup import OP2_SQL, op2_line_dedup
 from siftwood.llm.near_dedup import op5_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_near_dedup": op5_near_dedup,
     "op6_sharding": op6_sharding,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_bpe": op10_bpe,
