@@ -95,6 +95,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFr
     k1, k2 = content_key(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select(k1, k2, words_of(F.col("text")).alias("words"))
     starts = items.select("k", "n", F.posexplode("shingles").alias("at", "shingle")).distinct()
+    starts = materialise(starts, "starts")
+    narrow = starts.count() <= BROADCAST_PLACES
     hits = None
     for k in sizes:
         each = texts.select("__sw_k1", "__sw_k2", F.posexplode(shingles_of(F.col("words"), k)).alias("pos", "shingle"))
