@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwood.llm.shared import content_key, text_slices
+from siftwood.llm.shared import content_key, materialise, text_slices
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -119,7 +119,8 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, o
     done = rows.mapInArrow(pieces, "__sw_k1 long, __sw_k2 long, nr int, ids array<int>")
     met = done.groupBy("__sw_k1", "__sw_k2").agg(F.sort_array(F.collect_list(F.struct("nr", "ids"))).alias("parts"))
     ids = F.when(F.exists("parts", lambda p: p["ids"].isNull()), F.lit(None)).otherwise(F.flatten(F.transform("parts", lambda p: p["ids"])))
-    stitched = long.join(met.select("__sw_k1", "__sw_k2", ids.alias("ids")), ["__sw_k1", "__sw_k2"])
+    met = materialise(met.select("__sw_k1", "__sw_k2", ids.alias("ids")), "stitched")
+    stitched = long.join(met, ["__sw_k1", "__sw_k2"])
     apart = stitched.where(F.col("ids").isNull()).select(*docs.columns)
     return short.mapInArrow(whole, wanted).unionByName(stitched.where(F.col("ids").isNotNull()).select(*others, "ids")).unionByName(apart.mapInArrow(whole, wanted))
 
@@ -129,9 +130,10 @@ def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     base = encoded.drop("bytes")
     schema = T.StructType([*base.schema.fields, T.StructField("bytes", T.BinaryType())])
 
+    names = [*base.columns, "bytes"]
+
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_file, pattern)
-        names = [*base.columns, "bytes"]
         for batch in batches:
             # few rows at a time: a Python list of ids takes many times their bytes
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
