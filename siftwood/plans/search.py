@@ -20,7 +20,7 @@ from siftwood.operators.index import Index
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters of retrieval; the defaults are the reference values of the published evaluation."""
+    """Parameters of retrieval; the defaults suit the hashed embedder."""
 
     k: int = 3
     pool: int = 30
