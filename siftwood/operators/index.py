@@ -56,12 +56,34 @@ def spelling(words: DataFrame, min_df: int = 2, min_length: int = 4) -> DataFram
 
 @dataclass
 class Index:
+    """Statistics count every document, buried ones too, until a segment is rewritten."""
+
     docs: DataFrame
     postings: DataFrame
     lexicon: DataFrame
     doc_stats: DataFrame
     corpus_stats: DataFrame
 
+    def stored(self) -> Index:
+        """The same index in tables of the shared folder: many queries read it, none makes it again."""
+        from siftwood.scratch import materialise
+
+        return Index(*(materialise(getattr(self, name), name) for name in ("docs", "postings", "lexicon", "doc_stats", "corpus_stats")))
+
+    def save(self, path: str, buckets: int = 64) -> None:
+        """Writes the index; postings by buckets of terms, sorted, so a query reads the row groups of its terms."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        by_term = self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term", "docid")
+        by_term.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        lexicon(self.docs.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/lexicon")
+        corpus_stats(self.docs.sparkSession.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Index:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "lexicon", "doc_stats", "corpus_stats")))
+
     @classmethod
     def build(cls, docs: DataFrame) -> Index:
         found, stats = postings(docs), doc_stats(docs)

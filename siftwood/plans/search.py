@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwood.functions import text as T
+from siftwood.functions.numeric import calibrated, dot
 from siftwood.operators import dense, fusion, lexical
 from siftwood.operators.answers import extract
 from siftwood.operators.index import Index
+from siftwood.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: Da
         total = total if tombstones is None else total.join(tombstones, "docid", "left_anti")
         return lexical.top(total, k, F.desc("score"), F.asc("docid"))
 
-    first = scored(terms, config.channel, bonus)
+    first = materialise(scored(terms, config.channel, bonus), "hits")  # three later steps read it
     lists = [first.select("query_id", F.lit(1).alias("list_no"), "docid", "rank")]
     if config.expand:
         asking = asked.where(T.is_question(F.col("words"))).select("query_id")
@@ -129,6 +131,7 @@ def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: Da
     for r in spoken.where("source is not null").select("source").distinct().collect():  # a scan per source asked for
         here = alive.join(facts.where(F.contains("source", F.lit(r["source"]))).select("docid"), "docid")
         near = near.unionByName(dense.topk(spoken.where(F.col("source") == r["source"]), here, config.channel))
+    near = materialise(near, "near")
     lists.append(near.select("query_id", F.lit(0).alias("list_no"), "docid", "rank"))
 
     every = lists[0]
@@ -148,7 +151,7 @@ def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: Da
 
 def search(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), feedback: DataFrame | None = None, corrections: DataFrame | None = None, tombstones: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
     """query_id, place, docid, text, raw_cos, conf, ltr, margin, zone of the best k candidates."""
-    found = pool(queries, index, vectors, query_vectors, config, tombstones, context)
+    found = materialise(pool(queries, index, vectors, query_vectors, config, tombstones, context), "pool")
     words = lexical.query_terms(parsed(queries).select("query_id", F.col("words").alias("text")))
     asked = words.groupBy("query_id").agg(F.collect_set("term").alias("query_terms"))
     rare = index.lexicon.where("df = 1").select("term").join(words, "term").groupBy("query_id").agg(F.collect_set("term").alias("rare_terms"))
@@ -159,8 +162,6 @@ def search(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors:
         own = docs.select("docid", "source")
         nbr = nbr.join(own, "docid").join(own.select(F.col("docid").alias("nbr"), F.col("source").alias("of")), "nbr").where(F.col("source").eqNullSafe(F.col("of")))
     close = nbr.join(vectors.select(F.col("docid").alias("nbr"), "vec"), "nbr").join(query_vectors.select("query_id", F.col("vec").alias("qvec")), "query_id")
-    from siftwood.functions.numeric import dot
-
     near = close.groupBy("query_id", "docid").agg(F.max(dot(F.col("vec"), F.col("qvec"))).alias("nbr_raw"))
     rows = found.join(asked, "query_id", "left").join(rare, "query_id", "left").join(texts, "docid").join(index.doc_stats, "docid").join(near, ["query_id", "docid"], "left").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
     rows = rows.withColumn("query_terms", F.coalesce("query_terms", F.array().cast("array<string>")))
@@ -173,8 +174,6 @@ def search(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors:
 
 def ask(query_vectors: DataFrame, vectors: DataFrame, docs: DataFrame, config: Config = Config(), inactive: DataFrame | None = None) -> DataFrame:
     """Dense recall only: query_id, place, docid, text, raw_cos, conf, margin, zone. Inactive documents are passed over."""
-    from siftwood.functions.numeric import calibrated
-
     alive = vectors if inactive is None else vectors.join(inactive, "docid", "left_anti")
     near = dense.topk(query_vectors, alive, config.k).select("query_id", F.col("rank").alias("place"), "docid", F.col("score").alias("raw_cos"))
     rows = near.withColumn("conf", calibrated(F.col("raw_cos"), *config.calib))

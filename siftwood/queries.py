@@ -19,6 +19,7 @@ from siftwood.operators import answers, dense, evaluation, feedback, fusion, ing
 from siftwood.operators.index import Index, surface
 from siftwood.operators.index import spelling as spelling_keys
 from siftwood.plans import search as plans
+from siftwood.scratch import materialise
 from siftwood.sources import files, store, taxonomy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,13 +491,13 @@ def l6_corrected(spark, sf_dir):
 def _embedded(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = dense.fit_embedder(docs)
-    return docs, model.embed(docs).select("docid", "vec"), model.embed(benchmark(spark, sf_dir)).select("query_id", "vec")
+    return docs, materialise(model.embed(docs).select("docid", "vec"), "vectors"), materialise(model.embed(benchmark(spark, sf_dir)).select("query_id", "vec"), "asked")
 
 
 @query()
 def q1_hybrid_search(spark, sf_dir):
     docs, vectors, asked = _embedded(spark, sf_dir)
-    return plans.search(benchmark(spark, sf_dir), Index.build(docs), vectors, asked)
+    return plans.search(benchmark(spark, sf_dir), Index.build(docs).stored(), vectors, asked)
 
 
 @query()
