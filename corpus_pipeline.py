@@ -48,8 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and the digests of the ids and of the bytes they decode to."""
     ranks, pattern = bpe.public_files()
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, pattern), ranks, pattern)
-    return bpe.digests(decoded).select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digests(bpe.round_trip(docs.select("doc_id", "text"), ranks, pattern)).select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwood.llm.shared import content_key, materialise, text_slices
+from siftwood.llm.shared import arrow_map, content_key, materialise, text_slices
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -75,8 +75,11 @@ def _ids(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)))
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Every row of docs with ids (array<int>) in place of text. A null or empty text has no ids. A column ids is replaced."""
+def encode(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, back: bool = False) -> DataFrame:
+    """Every row of docs with ids (array<int>) in place of text. A null or empty text has no ids. A column ids is replaced.
+
+    back: decodes as well, see round_trip.
+    """
     docs = docs.drop("ids")
     others = [c for c in docs.columns if c != "text"]
     wanted = T.StructType([*(docs.schema[c] for c in others), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -116,30 +119,42 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, o
                 out.append([i for p in found for i in known[p]])
             yield pa.RecordBatch.from_arrays([batch.column("__sw_k1"), batch.column("__sw_k2"), batch.column("nr"), pa.array(out, pa.list_(pa.int32()))], ["__sw_k1", "__sw_k2", "nr", "ids"])
 
-    done = rows.mapInArrow(pieces, "__sw_k1 long, __sw_k2 long, nr int, ids array<int>")
+    done = arrow_map(rows, pieces, "__sw_k1 long, __sw_k2 long, nr int, ids array<int>")
     met = done.groupBy("__sw_k1", "__sw_k2").agg(F.sort_array(F.collect_list(F.struct("nr", "ids"))).alias("parts"))
     ids = F.when(F.exists("parts", lambda p: p["ids"].isNull()), F.lit(None)).otherwise(F.flatten(F.transform("parts", lambda p: p["ids"])))
     met = materialise(met.select("__sw_k1", "__sw_k2", ids.alias("ids")), "stitched")
     stitched = long.join(met, ["__sw_k1", "__sw_k2"])
     apart = stitched.where(F.col("ids").isNull()).select(*docs.columns)
-    return short.mapInArrow(whole, wanted).unionByName(stitched.where(F.col("ids").isNotNull()).select(*others, "ids")).unionByName(apart.mapInArrow(whole, wanted))
+    joined = stitched.where(F.col("ids").isNotNull()).select(*others, "ids")
+    if not back:
+        return arrow_map(short, whole, wanted).unionByName(joined).unionByName(arrow_map(apart, whole, wanted))
+    both = lambda batches: decoded(whole(batches), ranks_file, pattern)
+    return arrow_map(short, both, with_bytes(wanted)).unionByName(decode(joined, ranks_file, pattern)).unionByName(arrow_map(apart, both, with_bytes(wanted)))
 
 
-def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """Every row with bytes (binary) beside ids: the concatenated bytes of its ids; null ids give no bytes."""
-    base = encoded.drop("bytes")
-    schema = T.StructType([*base.schema.fields, T.StructField("bytes", T.BinaryType())])
+def decoded(batches: Iterator[pa.RecordBatch], ranks_file: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Batches with ids, with bytes after their columns: the concatenated bytes of the ids."""
+    enc = encoder(ranks_file, pattern)
+    for batch in batches:
+        # few rows at a time: a Python list of ids takes many times their bytes
+        for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+            data = pa.array([enc.decode_bytes(x or []) for x in part.column("ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, data], [*part.schema.names, "bytes"])
 
-    names = [*base.columns, "bytes"]
 
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_file, pattern)
-        for batch in batches:
-            # few rows at a time: a Python list of ids takes many times their bytes
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([enc.decode_bytes(x or []) for x in part.column("ids").to_pylist()], pa.binary())], names)
+def with_bytes(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("bytes", T.BinaryType())])
+
+
+def decode(rows: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+    """Every row with bytes (binary) beside ids: the concatenated bytes of its ids; null ids give no bytes."""
+    base = rows.drop("bytes")
+    return arrow_map(base, lambda batches: decoded(batches, ranks_file, pattern), with_bytes(base.schema))
+
 
-    return base.mapInArrow(back, schema)
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """decode(encode(docs)), the two in one Python worker where a document is encoded whole."""
+    return encode(docs.drop("bytes"), ranks_file, pattern, chunk, overlap, back=True)
 
 
 def public_files() -> tuple[str, str]:
@@ -151,7 +166,7 @@ def public_files() -> tuple[str, str]:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_files()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(decode(encode(docs, ranks, pattern), ranks, pattern)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(round_trip(docs, ranks, pattern)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

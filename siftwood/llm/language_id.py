@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwood.llm.shared import held_out, split_words, text_slices
+from siftwood.llm.shared import arrow_map, held_out, split_words, text_slices
 
 SAMPLE_DOCS = 300
 EM_ROUNDS = 3
@@ -28,7 +28,7 @@ SCALE = 64.0
 BLOCK = 96
 UNKNOWN = 0
 FLOOR = 1e-7
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 UNDETERMINED = "und"
 
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, model_file: str, sample_docs: int = SAMPLE_DOCS) -> U
             table = table.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
             yield from table.to_batches()
 
-    seen = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    seen = arrow_map(chosen, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     coded = seen.column("word").combine_chunks().dictionary_encode()
     counts = np.zeros((len(coded.dictionary), len(languages)))
     column = {k: i for i, k in enumerate(languages)}
@@ -246,7 +246,7 @@ def identify(docs: DataFrame, model: UnigramModel | None) -> DataFrame:
             named = pa.array([*(model.languages if model else []), UNDETERMINED]).take(pa.array(best % (len(model.languages) + 1 if model else 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, named, pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return base.mapInArrow(predict, schema)
+    return arrow_map(base, predict, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm.shared import content_key, materialise, mix, text_slices
+from siftwood.llm.shared import arrow_map, content_key, materialise, mix, text_slices
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -118,7 +118,7 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             both = np.concatenate([*sets, np.zeros((0, 2), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column("doc_id").take(rows)], ["h1", "h2", "doc_id"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keys, "h1 long, h2 long, doc_id long")
+    found = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keys, "h1 long, h2 long, doc_id long")
     return found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
 
 
@@ -173,7 +173,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     kind = "shard int, salt int, kind int, packed binary, k1 long, k2 long, doc_id long"
     keyed = docs.select(*(c.alias(n) for c, n in zip(content_key(F.col("doc_id"), F.col("text")), ("k1", "k2"), strict=True)), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = keyed.mapInArrow(packets, kind)
+    sent = arrow_map(keyed, packets, kind)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
@@ -192,7 +192,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     # a shard's blob comes before its packets; a shard without keys has no blob, and whatever it meets instead knows none of its hashes
     probed = sent.unionByName(blobs).repartition(width, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    gone = probed.mapInArrow(probe, "k1 long, k2 long, gone array<long>").groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__sw_gone"))
+    gone = arrow_map(probed, probe, "k1 long, k2 long, gone array<long>").groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__sw_gone"))
 
     k1, k2 = content_key(F.col("doc_id"), F.col("text"))
     joined = docs.withColumns({"__sw_k1": k1, "__sw_k2": k2}).join(gone.withColumnsRenamed({"k1": "__sw_k1", "k2": "__sw_k2"}), ["__sw_k1", "__sw_k2"], "left")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwood.llm.shared import held_out, text_slices
+from siftwood.llm.shared import arrow_map, held_out, text_slices
 
 #: Labelled documents per class that the sample holds, about, and the longest text it takes.
 SAMPLE_DOCS = 1200
@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: CompressionModel | None) -> DataFrame:
                 p = np.full(batch.num_rows, PRIOR)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
 
-    return base.mapInArrow(rate, schema)
+    return arrow_map(base, rate, schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm.shared import materialise, split_words, text_slices, word_codes
+from siftwood.llm.shared import arrow_map, materialise, split_words, text_slices, word_codes
 
 # Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -122,7 +122,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {MEASURES}")
+    return arrow_map(rows, count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {MEASURES}")
 
 
 def references(measured: DataFrame, share: float) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
@@ -171,7 +171,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(k) for k in counts), pa.array(c.sum(axis=1)), pa.array(distances(c, chars[at])), pa.array(distances(w, words[at]))], ["doc_id", *counts, "n", "char_distance", "word_distance"])
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in counts)}, n long, char_distance double, word_distance double"
-    compared = measured.mapInArrow(compare, kind)
+    compared = arrow_map(measured, compare, kind)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     diverges = ((F.col("n") >= limits.min_chars) & (F.col("char_distance") > limits.char_distance)) | ((F.col("n_words") >= limits.min_words) & (F.col("word_distance") > limits.word_distance))
     return compared.select("doc_id", *counts, failed.alias("base_failed"), (~failed & ~diverges).alias("kept"), "char_distance", "word_distance")

@@ -5,9 +5,11 @@ Names that start with ``__sw_`` are reserved for columns the operators add while
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
+#: Bytes of one batch that Spark hands to Python.
+ARROW_BYTES = 8 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,7 +58,31 @@ def content_key(*parts: Column) -> list[Column]:
     return [F.xxhash64(*parts).alias("__sw_k1"), F.xxhash64(F.lit(7), *parts).alias("__sw_k2")]
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns a task's freed memory to the system: Python workers outlive their tasks and add up with others' on an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of ARROW_BYTES, so that what lies between the JVM and Python stays small whatever the rows' size."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(key, str(ARROW_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:

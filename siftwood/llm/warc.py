@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm.shared import fresh_path, materialise
+from siftwood.llm.shared import arrow_map, fresh_path, materialise
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -186,7 +186,7 @@ def read_warc(spark: SparkSession, files: list[tuple[str, int]], range_bytes: in
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], types)
 
-    return table.mapInArrow(scan, RECORDS)
+    return arrow_map(table, scan, RECORDS)
 
 
 # --- writing ---------------------------------------------------------------------------------------
@@ -230,7 +230,7 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
         store.move(draft, f"{place}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([size])], ["file", "size"])
 
-    return [(r[0], r[1]) for r in plan_records(pages, revisit_bytes).mapInArrow(write, "file string, size long").collect()]  # one row per file
+    return [(r[0], r[1]) for r in arrow_map(plan_records(pages, revisit_bytes), write, "file string, size long").collect()]  # one row per file
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
