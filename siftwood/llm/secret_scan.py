@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftwood.llm.shared import fresh_path
 
@@ -38,7 +37,7 @@ RULES = (
 )
 
 SPAN = "struct<start:int,order:int,kind:string,end:int>"
-LEDGER = T._parse_datatype_string(f"blob string, kind string, version int, spans array<{SPAN}>")
+LEDGER = f"blob string, kind string, version int, spans array<{SPAN}>"
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
