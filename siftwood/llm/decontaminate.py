@@ -54,14 +54,15 @@ def simhash(shingles: Column) -> Column:
         spread = lambda x: reduce(lambda a, b: a.bitwiseOR(b), (lane(x, b) for b in range(min(3, 64 - low))))
         return F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, x: acc + spread(x))
 
-    half = F.size(shingles).cast("long")
-    bits = []
-    for low in range(0, 64, 3):
-        total = votes(low)
-        for b in range(min(3, 64 - low)):
-            got = F.shiftrightunsigned(total, 21 * b).bitwiseAND(F.lit((1 << 21) - 1))
-            bits.append(F.shiftleft((2 * got > half).cast("long"), low + b))
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    totals = F.array(*(votes(low) for low in range(0, 64, 3)))
+
+    def assemble(sums: Column) -> Column:
+        shift = lambda name, x, by: F.call_function(name, x, by.cast("int"))
+        count = lambda i: shift("shiftrightunsigned", F.get(sums, F.floor(i / 3)), 21 * (i % 3)).bitwiseAND(F.lit((1 << 21) - 1))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(shift("shiftleft", (2 * count(i) > F.size(shingles)).cast("long"), i)))
+
+    # one element, so that the sums are made once for all bits
+    return F.get(F.transform(F.array(totals), assemble), 0)
 
 
 def blocks_of(fingerprint: Column, radius: int) -> Column:
@@ -113,16 +114,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFr
     cut = F.slice("words", F.greatest(F.col("p.start"), F.lit(0)) + 1, F.col("p.n") + F.least(F.col("p.start"), F.lit(0)))
     windows = once.select("__sw_k1", "__sw_k2", F.explode("places").alias("p"), "words").select("__sw_k1", "__sw_k2", F.col("p.n").alias("n"), F.col("p.start").alias("start"), cut.alias("words"))
     shingled = windows.withColumn("shingles", reduce(lambda acc, k: F.when(F.col("n") == k, shingles_of(F.col("words"), k)).otherwise(acc), range(1, SHINGLE), shingles_of(F.col("words"))))
-    marked = materialise(shingled.select("__sw_k1", "__sw_k2", "n", "start", "shingles").where(F.size("shingles") > 0).withColumn("print", simhash(F.col("shingles"))), "windows")
-    known = items.withColumn("print", simhash(F.col("shingles")))
-
-    ours = marked.select("__sw_k1", "__sw_k2", "n", "start", "print", F.explode(blocks_of(F.col("print"), how.radius)).alias("block"))
+    # windows that read the same are fingerprinted and compared once
+    print_of = content_key(F.col("shingles"))
+    full = shingled.where(F.size("shingles") > 0).select("__sw_k1", "__sw_k2", "n", *(c.alias(n) for c, n in zip(print_of, ("c1", "c2"), strict=True)), "shingles")
+    windows = materialise(full, "windows")
+    contents = windows.groupBy("n", "c1", "c2").agg(F.first("shingles").alias("shingles"))
+    marked = materialise(contents.withColumn("print", simhash(F.col("shingles"))), "prints")
+    known = materialise(items.withColumn("print", simhash(F.col("shingles"))), "prints")
+
+    ours = marked.select("n", "c1", "c2", "print", F.explode(blocks_of(F.col("print"), how.radius)).alias("block"))
     theirs = known.select("item_id", "n", F.col("print").alias("theirs"), F.explode(blocks_of(F.col("print"), how.radius)).alias("block"))
     near = ours.join(theirs, ["n", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("theirs"))) <= how.radius)
-    pairs = near.select("__sw_k1", "__sw_k2", "n", "start", "item_id").distinct()
-    held = pairs.join(marked.select("__sw_k1", "__sw_k2", "n", "start", "shingles"), ["__sw_k1", "__sw_k2", "n", "start"]).join(items.select("item_id", F.col("shingles").alias("wanted")), "item_id")
-    rated = held.select("__sw_k1", "__sw_k2", "item_id", F.round(weighted_jaccard(F.col("shingles"), F.col("wanted")), 6).alias("similarity"))
-    return rated.where(F.col("similarity") >= how.similarity).groupBy("__sw_k1", "__sw_k2", "item_id").agg(F.max("similarity").alias("similarity"))
+    pairs = near.select("n", "c1", "c2", "item_id").distinct()
+    held = pairs.join(marked.select("n", "c1", "c2", "shingles"), ["n", "c1", "c2"]).join(known.select("item_id", F.col("shingles").alias("wanted"), F.col("n").alias("m")), "item_id").where("n = m")
+    rated = held.select("n", "c1", "c2", "item_id", F.round(weighted_jaccard(F.col("shingles"), F.col("wanted")), 6).alias("similarity")).where(F.col("similarity") >= how.similarity)
+    matches = materialise(rated, "matches")
+    # one content may stand in a third of all texts: salted
+    spread = matches.withColumn("__sw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = windows.select("__sw_k1", "__sw_k2", "n", "c1", "c2", F.pmod("__sw_k1", F.lit(SALTS)).cast("int").alias("__sw_salt"))
+    return places.join(spread, ["n", "c1", "c2", "__sw_salt"]).groupBy("__sw_k1", "__sw_k2", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFrame:
