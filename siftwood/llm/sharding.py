@@ -43,7 +43,8 @@ def propagate(docs: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
         have = state.where("__sw_linked").groupBy(*group, "__sw_shard").agg(F.count("*").alias("c"))
         want = have.groupBy(*group).agg(F.max_by("__sw_shard", F.struct("c", (-F.col("__sw_shard")).alias("s"))).alias("__sw_want"), F.sum("c").alias("n"), F.max("c").alias("top"))
         want = want.where("top < n")
-        load = {r[0]: r[1] for r in state.groupBy("__sw_shard").count().collect()}  # one row per shard
+        # unlinked rows give up their places when sizes are settled, so linked ones alone take up room; one row per shard
+        load = {r[0]: r[1] for r in have.groupBy("__sw_shard").agg(F.sum("c")).collect()}
         asked = {r[0]: r[1] for r in want.groupBy("__sw_want").agg(F.sum(F.col("n") - F.col("top"))).collect()}
         if not asked:
             break
