@@ -683,3 +683,32 @@ def q5_extract(spark, sf_dir):
     asked = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("at"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("query"))
     near = asked.join(turns.select("conv_id", "turn", "text"), "conv_id").where("turn > at and turn <= at + 3")
     return answers.extract(near.select("query_id", "query", (F.col("turn") - F.col("at") - 1).cast("int").alias("rank"), "text"))
+
+
+@query()
+def q10_eval_rank(spark, sf_dir):
+    """Retrieval quality on probes cut from the corpus: lexical, dense and fused."""
+    from siftwood.plans import evaluate
+
+    docs, vectors, _ = _embedded(spark, sf_dir)
+    asked = evaluation.probes(docs)
+    model = dense.fit_embedder(docs)
+    said = materialise(model.embed(asked).select("query_id", "vec"), "probes")
+    gold = asked.select("query_id", F.col("query_id").alias("docid"))
+    return evaluate.eval_rank(asked, gold, Index.build(docs).stored(), vectors, said)
+
+
+@query()
+def q10_capacity(spark, sf_dir):
+    from siftwood.plans import evaluate
+
+    return evaluate.capacity(spark, [200, 1000])
+
+
+@query()
+def a27_linear_probe(spark, sf_dir):
+    """Accuracy of a multinomial probe on labelled vectors, held out."""
+    from siftwood.operators import probing
+
+    rows = probing.split(embeddings(spark, sf_dir), F.col("label"))
+    return probing.accuracy(probing.probe(rows)[1])
