@@ -90,15 +90,19 @@ def stem_en(word: Column) -> Column:
     size = F.length(word)
     ing, ed = _cut(word, 3), _cut(word, 2)
     doubled = (F.length(ing) >= 3) & (F.right(ing, F.lit(1)) == F.substring(ing, F.length(ing) - 1, 1)) & ~F.right(ing, F.lit(1)).rlike("[aeiouy]")
+    plural = (
+        F.when(word.endswith("ies") & (size > 4), F.concat(_cut(word, 3), F.lit("y")))
+        .when(word.endswith("oes") & (size > 4), F.concat(_cut(word, 3), F.lit("o")))
+        .when(word.rlike("(s|x|ch|sh|z)es$"), _cut(word, 2))
+        .when(word.rlike("(ss|us|is)$"), word)
+        .otherwise(_cut(word, 1))
+    )
     return (
-        F.when((size <= 3) | ~word.rlike("^[a-zа-я]+$"), word)
-        .when(word.endswith("ies") & (size > 4), F.concat(_cut(word, 3), F.lit("y")))
+        F.when((size <= 3) | word.rlike("[0-9]"), word)
+        .when(word.endswith("s"), plural)
         .when(word.endswith("ing") & (size > 5) & ing.rlike("[aeiouy]"), F.when(doubled, _cut(ing, 1)).otherwise(ing))
         .when(word.endswith("ed") & (size > 4) & ed.rlike("[aeiouy]"), ed)
-        .when(word.endswith("oes") & (size > 4), F.concat(_cut(word, 3), F.lit("o")))
-        .when(word.rlike("(s|x|ch|sh|z)es$"), _cut(word, 2))
         .when(word.endswith("ly") & (size > 4), _cut(word, 2))
-        .when(word.endswith("s") & ~word.rlike("(ss|us|is)$"), _cut(word, 1))
         .otherwise(word)
     )
 

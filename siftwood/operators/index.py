@@ -24,9 +24,11 @@ def doc_stats(docs: DataFrame) -> DataFrame:
     return docs.select("docid", F.size(T.tokenize(F.col("text"))).cast("long").alias("dl"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, docid, tf, positions."""
-    return terms(docs).groupBy("term", "docid").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """term, docid, tf, positions. wanted: (term) keeps other terms out before anything is shuffled."""
+    found = terms(docs)
+    found = found if wanted is None else found.join(wanted.select("term").distinct(), "term", "left_semi")
+    return found.groupBy("term", "docid").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def lexicon(found: DataFrame) -> DataFrame:
@@ -85,6 +87,7 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "lexicon", "doc_stats", "corpus_stats")))
 
     @classmethod
-    def build(cls, docs: DataFrame) -> Index:
-        found, stats = postings(docs), doc_stats(docs)
+    def build(cls, docs: DataFrame, wanted: DataFrame | None = None) -> Index:
+        """wanted: (term) restricts postings and lexicon to a batch's terms, for a corpus that is searched once."""
+        found, stats = postings(docs, wanted), doc_stats(docs)
         return cls(docs, found, lexicon(found), stats, corpus_stats(stats))

@@ -241,7 +241,8 @@ def a6_spelling_keys(spark, sf_dir):
 
 
 def _indexed(spark, sf_dir):
-    return Index.build(documents(spark, sf_dir)), lexical.query_terms(benchmark(spark, sf_dir))
+    wanted = lexical.query_terms(benchmark(spark, sf_dir))
+    return Index.build(documents(spark, sf_dir), wanted), wanted
 
 
 @query(f"WITH {TERMS}, {BATCH}, {SCORES} SELECT query_id, doc_id AS docid, rank, round(score, 6) AS score FROM hits WHERE rank < 10")
@@ -274,16 +275,18 @@ def _phrases(spark, sf_dir):
 
 @query(f"WITH {TERMS}, {PHRASES} SELECT query_id, doc_id AS docid, start FROM found")
 def j3_phrases(spark, sf_dir):
-    index = Index.build(documents(spark, sf_dir))
-    return lexical.phrases(_phrases(spark, sf_dir), index).select("query_id", "docid", F.col("at").cast("long").alias("start"))
+    asked = _phrases(spark, sf_dir)
+    index = Index.build(documents(spark, sf_dir), asked.select(F.explode("terms").alias("term")))
+    return lexical.phrases(asked, index).select("query_id", "docid", F.col("at").cast("long").alias("start"))
 
 
 @query(f"""WITH {TERMS}, {PHRASES},
 worth AS (SELECT query_id, 2 * sum({IDF}) AS b FROM (SELECT DISTINCT query_id, term FROM ph) JOIN lex USING (term), cs GROUP BY query_id)
 SELECT query_id, doc_id AS docid, round(b, 6) AS score FROM (SELECT DISTINCT query_id, doc_id FROM found) JOIN worth USING (query_id)""")
 def a6_phrase_bonus(spark, sf_dir):
-    index = Index.build(documents(spark, sf_dir))
-    return lexical.phrase_bonus(_phrases(spark, sf_dir), index).select("query_id", "docid", F.round("score", 6).alias("score"))
+    asked = _phrases(spark, sf_dir)
+    index = Index.build(documents(spark, sf_dir), asked.select(F.explode("terms").alias("term")))
+    return lexical.phrase_bonus(asked, index).select("query_id", "docid", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {TERMS}, {BATCH}, {SCORES},
@@ -316,8 +319,10 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, term)
 e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS rank FROM p WHERE place < 24 AND length(term) >= 4)
 SELECT query_id, term, rank FROM e WHERE rank < 8""")
 def a8_expansion(spark, sf_dir):
-    index, wanted = _indexed(spark, sf_dir)
-    return lexical.expansion(lexical.bm25(wanted, index, 5), wanted, index).select("query_id", "term", F.col("rank").cast("long").alias("rank"))
+    wanted = lexical.query_terms(benchmark(spark, sf_dir))
+    hits = lexical.bm25(wanted, Index.build(documents(spark, sf_dir), wanted), 5)
+    first = documents(spark, sf_dir).join(materialise(hits, "hits").select("docid").distinct(), "docid", "left_semi")
+    return lexical.expansion(hits, wanted, Index.build(first)).select("query_id", "term", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
