@@ -155,3 +155,14 @@ class SparseCoder:
         drive = vectors.astype(np.float32) @ self.weights
         least = -np.partition(-drive, self.active - 1, axis=1)[:, self.active - 1]
         return [np.flatnonzero((d >= t) | (d >= self.soft * t)) for d, t in zip(drive, least, strict=True)]
+
+
+def projection(size: int = 576, to: int = DIMENSIONS, seed: int = 13) -> np.ndarray:
+    """An orthonormal map from image features to the shared vector space; the same for every seed."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, to)))
+    return q * np.sign(np.diag(r))
+
+
+def half_precision(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as they come back from 16-bit storage."""
+    return np.asarray(vectors, np.float16).astype(np.float32)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.functions import text as T
-from siftwood.operators import answers, dense, feedback, ingest
+from siftwood.operators import answers, dense, feedback, ingest, lexical
 from siftwood.operators.index import Index
 from siftwood.plans import search as plans
 from siftwood.scratch import materialise
@@ -124,6 +124,12 @@ class Library:
         docs = self.store.documents().select("docid", T.citation(F.col("source"), heading=F.col("heading"), page=F.col("page"), row=F.col("row"), line=F.col("line")).alias("citation"))
         return hits.join(docs, "docid")
 
+    def find(self, text: str) -> int | None:
+        """The first live document that contains the text or is contained in it."""
+        docs = self.store.documents()
+        row = None if docs is None else lexical.containing(self._queries([text]), live(docs, self.gone())).first()
+        return row and row.docid
+
     def sources(self) -> DataFrame:
         return live(self.store.documents(), self.gone()).groupBy("source").agg(F.count("*").alias("n"))
 

@@ -717,3 +717,93 @@ def a27_linear_probe(spark, sf_dir):
 
     rows = probing.split(embeddings(spark, sf_dir), F.col("label"))
     return probing.accuracy(probing.probe(rows)[1])
+
+
+# --- filters, adapters and set operations ----------------------------------------------------------
+
+
+@query("""SELECT item_id AS query_id, min(doc_id) AS docid FROM (SELECT item_id, lower(text) AS q FROM benchmark) JOIN (SELECT doc_id, lower(text) AS d FROM documents WHERE text <> '') ON contains(d, q) OR contains(q, d) GROUP BY 1""")
+def p9_find(spark, sf_dir):
+    return lexical.containing(benchmark(spark, sf_dir), documents(spark, sf_dir))
+
+
+@query("""SELECT doc_id AS docid FROM documents WHERE contains(lower(lang || ' ' || source), 'en src1')""")
+def p3_heading_filter(spark, sf_dir):
+    headed = documents(spark, sf_dir).withColumn("heading", F.concat_ws(" ", "lang", "source"))
+    return headed.where(F.contains(F.lower("heading"), F.lit("en src1"))).select("docid")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS path, 'key: ' || n_nationkey || ' | name: ' || n_name AS text, 1 AS row FROM nation""")
+def s5_csv_rows(spark, sf_dir):
+    """A two-line table per nation; the last cell is empty and left out."""
+    body = F.concat(F.lit("key,name,note\n"), F.col("n_nationkey").cast("string"), F.lit(","), "n_name", F.lit(","))
+    made = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), F.lit("csv").alias("ext"), body.alias("body"))
+    return files.csv_rows(made).select(F.col("source").alias("path"), "text", "row")
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS path, line FROM events, (SELECT unnest([1, 3]) AS line)""")
+def s6_json_lines(spark, sf_dir):
+    """Two good lines around a bad one and a blank one."""
+    made = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.lit("jsonl").alias("ext"), F.concat("props", F.lit("\nbad{\n"), "props", F.lit("\n\n")).alias("body"))
+    return files.json_lines(made).select(F.col("source").alias("path"), "line")
+
+
+@query("""SELECT doc_id AS docid, length(text) AS n FROM documents WHERE n_chars <= 20 * 100""")
+def s2_size_limit(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("n_chars <= 20 * 100").select(F.col("doc_id").alias("docid"), F.length("text").cast("long").alias("n"))
+
+
+@query(f"""WITH {TERMS}, b AS (SELECT DISTINCT {STEM} AS term FROM (SELECT unnest({TOKENS}) AS w FROM benchmark))
+SELECT (SELECT count(*) FROM (SELECT term FROM lex INTERSECT SELECT term FROM b)) AS shared, (SELECT count(*) FROM (SELECT term FROM b EXCEPT SELECT term FROM lex)) AS missing,
+  (SELECT count(*) FROM (SELECT term FROM lex UNION SELECT term FROM b)) AS every""")
+def u3_set_operations(spark, sf_dir):
+    ours = lexical.query_terms(documents(spark, sf_dir).withColumnRenamed("docid", "query_id")).select("term").distinct()
+    theirs = lexical.query_terms(benchmark(spark, sf_dir)).select("term").distinct()
+    both = ours.withColumn("a", F.lit(1)).join(theirs.withColumn("b", F.lit(1)), "term", "full_outer")
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return both.agg(one(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), one(F.col("a").isNull()).alias("missing"), F.count("*").alias("every"))
+
+
+@query(f"""WITH {TERMS}, {BATCH}, {SCORES} SELECT query_id, doc_id AS docid, round(score / max(score) OVER (PARTITION BY query_id), 6) AS norm FROM hits WHERE rank < 20""")
+def w7_normalised(spark, sf_dir):
+    index, wanted = _indexed(spark, sf_dir)
+    return fusion.normalised(lexical.bm25(wanted, index, 20)).select("query_id", "docid", F.round("norm", 6).alias("norm"))
+
+
+@query("""SELECT event_id, round(1 / (1 + exp(-(0.3e0 * value - 2))), 6) AS curve, round(1 / (1 + exp(-greatest(-30, least(30, value)))), 6) AS clipped FROM events""")
+def n2_sigmoids(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", F.round(N.calibrated(F.col("value"), 0.3, -2.0), 6).alias("curve"), F.round(N.sigmoid(F.col("value")), 6).alias("clipped"))
+
+
+@query("""SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS last_user FROM conversations""")
+def w4_carry_forward(spark, sf_dir):
+    order = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", seen.alias("last_user"))
+
+
+# --- generic relational smoke queries --------------------------------------------------------------
+
+
+def relational(name: str, sql: str, duck: str | None = None) -> None:
+    """One statement for both engines."""
+
+    def run(spark, sf_dir):
+        used = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events") if t in sql]
+        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = (duck or sql).replace("{", "").replace("}", "")
+
+
+relational("r1_pricing", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
+  round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
+relational("r3_shipping", """SELECT o_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {customer} JOIN {orders} ON c_custkey = o_custkey
+  JOIN {lineitem} ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY o_orderkey, o_orderdate ORDER BY revenue DESC, o_orderkey LIMIT 10""")
+relational("r5_local_suppliers", """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey
+  JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey AND c_nationkey = s_nationkey JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_name""")
+relational("r6_forecast", """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem} WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
+relational("r10_rollup", """SELECT p_brand, p_type, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY ROLLUP (p_brand, p_type)""")
+relational("r13_customers_without_orders", """SELECT count(*) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey WHERE o_orderkey IS NULL""")

@@ -41,6 +41,7 @@ def test_life_of_a_collection(spark, shelf):
     assert set(lib.consolidate()) == {"forget", "relearn"}
 
     assert lib.memorize("Кактус цветёт ночью.") == 1
+    assert lib.find("КАКТУС ЦВЕТЁТ") == lib.health()["n_docs"] - 1 and lib.find("нет такого") is None
     lib.new_topic()
     assert "Кактус" in lib.search("когда цветёт кактус").orderBy("place").first().text
     assert lib.remove_source("staff") >= 1
