@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siftwood.llm.shared import materialise
@@ -18,7 +18,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex links its larger neighbours to its smallest neighbour, itself included."""
     both = _both(edges)
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,18 +29,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """vertex, component (the smallest vertex reachable) for every vertex of edges (a, b long).
 
-    Each round's edges go to the shared folder, so a lost executor costs one round. Loops are ignored.
+    Each round's edges go to the shared folder, so a lost executor costs one round; a sum over what is
+    written tells when nothing changes any more. Loops are ignored. With ``rounds`` it stops early: equal
+    components are connected still, but one component may go by several names.
     """
-    state, before = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), None
-    for _ in range(MAX_ROUNDS):
-        state = materialise(_small_star(_large_star(state)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+    state, before = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), None
+    for _ in range(rounds or MAX_ROUNDS):
+        seen = Observation()
+        found = _small_star(_large_star(state)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        state = materialise(found.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "edges")
+        if seen.get == before:
             break
-        before = now
+        before = seen.get
     else:
-        raise RuntimeError(f"no components after {MAX_ROUNDS} rounds")
-    return state.select(F.col("b").alias("vertex"), F.col("a").alias("component")).unionByName(state.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct())
+        if not rounds:
+            raise RuntimeError(f"no components after {MAX_ROUNDS} rounds")
+    out = state.select(F.col("b").alias("vertex"), F.col("a").alias("component")).unionByName(state.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct())
+    return out.groupBy("vertex").agg(F.min("component").alias("component")) if rounds else out

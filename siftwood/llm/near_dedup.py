@@ -4,7 +4,7 @@ Documents are sets of five-word shingles. Equal sets are joined first and go on
 independent trees then branch the sets: a node chooses a few minwise coordinates by its level and tree,
 and each sends a set to the child named by its minimum there, so similar sets tend to stay together.
 Small nodes are compared exhaustively on full sets. A large node of sets alike
-does not fall apart: its sets are compared with a pivot, and those outside the component that results
+does not fall apart: its sets are compared with some pivots, and those outside the component that results
 with every set of the node, block by block. Comparisons hand on a spanning forest of the links they
 confirm, never all pairs, and nodes that are connected already are not compared again.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.llm.components import connected_components
-from siftwood.llm.shared import materialise, shingle_sets, text_slices
+from siftwood.llm.shared import arrow_map, materialise, shingle_sets, text_slices
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class Join:
     branches: int = 2
     levels: int = 3
     node: int = 64
-    dense: float = 0.25
+    block: int = 512
 
     @property
     def coordinates(self) -> int:
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, how: Join = Join()) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * how.coordinates), pa.array(minima.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), lists], ["doc_id", "n_shingles", "h1", "h2", "minima"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNATURES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sign, SIGNATURES)
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -79,20 +79,22 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def pivots(members: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """node, pivot, votes: of up to eight members picked by a hash, the one whose minima agree with most others' in enough places."""
+    """node, pivots, alike: up to eight members picked by a hash, and the largest share of places in which one agrees with the members on average."""
     lowest = members.groupBy("node").agg(*(F.min(F.when(F.pmod(F.xxhash64("doc_id", "node"), F.lit(8)) == i, F.struct(F.xxhash64("doc_id"), "doc_id"))).alias(f"p{i}") for i in range(8)))
     tried = lowest.select("node", F.explode(F.array_compact(F.array(*(F.col(f"p{i}.doc_id") for i in range(8))))).alias("pivot"))
     tried = tried.join(sets.select(F.col("doc_id").alias("pivot"), F.col("minima").alias("own")), "pivot")
-    alike = F.size(F.filter(F.zip_with("minima", "own", lambda a, b: a == b), lambda x: x)) >= how.coordinates * how.percent / 100
-    votes = members.join(sets, "doc_id").join(tried, "node").groupBy("node", "pivot").agg(F.sum(alike.cast("long")).alias("v"))
-    return votes.groupBy("node").agg(F.max_by("pivot", F.struct("v", -F.col("pivot"))).alias("pivot"), F.max("v").alias("votes"))
+    alike = F.size(F.filter(F.zip_with("minima", "own", lambda a, b: a == b), lambda x: x)) / how.coordinates
+    votes = members.join(sets, "doc_id").join(tried, "node").groupBy("node", "pivot").agg(F.avg(alike).alias("v"))
+    return votes.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"), F.max("v").alias("alike"))
 
 
 def branch(sets: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
-    """(tree, node, doc_id) rows of the small nodes, and with n and pivot of the large ones to compare.
+    """(tree, node, doc_id) rows of the small nodes, and with n and pivots of the large ones to compare.
 
     sets: doc_id and minima, one row per distinct set. Nodes of one set end here, and of nodes with the same
-    members one stays. A large node ends where a pivot resembles a good part of it, or on the last level.
+    members one stays. A large node ends on the last level, where it fits one block, or where branching would
+    not halve the work: sets that agree in a share s of places leave s of the node in each child, so comparing all children costs
+    branches * s * s of comparing the node.
     """
     rows = sets.select(F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"), "doc_id", "minima")
     small, large = [], []
@@ -108,11 +110,13 @@ def branch(sets: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
             break
         voted = pivots(wide.select("node", "doc_id"), sets, how)
         wide = materialise(wide.join(voted, "node"), f"wide{level}")
-        ends = F.lit(level == how.levels - 1) | (F.col("votes") >= how.dense * F.col("n"))
-        large.append(wide.where(ends).select("tree", "node", "doc_id", "n", "pivot"))
+        ends = F.lit(level == how.levels - 1) | (F.col("n") <= how.block) | (2 * how.branches * F.col("alike") * F.col("alike") >= 1)
+        large.append(wide.where(ends).select("tree", "node", "doc_id", "n", "pivots"))
+        if level == how.levels - 1 or wide.where(~ends).isEmpty():
+            break
         rows = wide.where(~ends).join(sets, "doc_id").select("node", "tree", "doc_id", "minima")
     union = lambda parts: None if not parts else parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    none = sets.sparkSession.createDataFrame([], "tree int, node long, doc_id long, n long, pivot long")
+    none = sets.sparkSession.createDataFrame([], "tree int, node long, doc_id long, n long, pivots array<long>")
     return union(small), union(large) or none
 
 
@@ -127,9 +131,9 @@ def compare(sets: list[np.ndarray], ids: list[int], sides: list[int], percent: i
         return i
 
     sizes = np.array([len(s) for s in sets], np.int64)
+    rows = [i for i, side in enumerate(sides) if side != 2]
     if len(sets) == 2:
-        shared = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))]] * 2)
-        rows = [0]
+        shared = np.full((len(rows), 2), len(np.intersect1d(sets[0], sets[1], assume_unique=True)))
     else:
         # only shingles that two sets have count; incidence times its transpose counts them for all pairs
         every = np.concatenate(sets)
@@ -137,20 +141,18 @@ def compare(sets: list[np.ndarray], ids: list[int], sides: list[int], percent: i
         number = np.cumsum(counts > 1) - 1
         held = counts[inverse] > 1
         width = int(number[-1]) + 1 if len(number) else 0
-        shared = np.zeros((len(sets), len(sets)))
+        shared = np.zeros((len(rows), len(sets)), np.float32)  # exact below 2 ** 24
         row = np.repeat(np.arange(len(sets)), sizes)[held]
         column = number[inverse[held]]
-        for low in range(0, width, 16_384):
-            inside = (column >= low) & (column < low + 16_384)
-            grid = np.zeros((len(sets), min(16_384, width - low)), np.float32)
+        for low in range(0, width, 4096):
+            inside = (column >= low) & (column < low + 4096)
+            grid = np.zeros((len(sets), min(4096, width - low)), np.float32)
             grid[row[inside], column[inside] - low] = 1
-            shared += grid @ grid.T
-        rows = range(len(sets))
+            shared += grid[rows] @ grid.T
     out = []
-    for i in rows:
-        both = shared[i] if len(sets) > 2 else shared[0]
+    for i, both in zip(rows, shared, strict=True):
         for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes - both)).tolist():
-            if j > i and (sides[i] != 2 or sides[j] != 2) and (a := root(i)) != (b := root(j)):
+            if j != i and (a := root(i)) != (b := root(j)):
                 parent[b] = a
                 out.append((ids[i], ids[j]))
     return out
@@ -173,7 +175,7 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 out += [(x["node"], doc_id, x["side"], data) for x in nodes]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), MEMBERS.types, strict=True)], schema=MEMBERS)
 
-    rows = texts.mapInArrow(spread, "node long, doc_id long, side int, shingles binary").repartition(width, "node").sortWithinPartitions("node")
+    rows = arrow_map(texts, spread, "node long, doc_id long, side int, shingles binary").repartition(width, "node").sortWithinPartitions("node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -193,34 +195,42 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(link, "a long, b long")
+    return arrow_map(rows, link, "a long, b long")
 
 
 def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """Links (a, b) that connect all sets which links of the join connect.
 
-    The first tree's small nodes are compared, and its large ones with their pivots. What that connects
+    The first tree's small nodes are compared, and the sets of its large ones with the node's pivots. What that connects
     needs no further comparison: the other nodes are taken where they still hold several components.
     """
     small, large = branch(sets, how)
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / how.node)).cast("int")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / how.block)).cast("int")
     dealt = large.withColumns({"blocks": blocks(F.col("n")), "block": F.pmod(F.xxhash64("doc_id", "node"), blocks(F.col("n"))).cast("int")})
-    base = dealt.where("tree = 0 and doc_id <> pivot").select("node", "block", "doc_id", "pivot")
+    base = dealt.where("tree = 0").where(~F.array_contains("pivots", F.col("doc_id"))).select("node", "block", "doc_id", "pivots")
     seat = F.xxhash64(F.lit("block"), "node", "block").alias("node")
-    stars = base.select(seat, "doc_id", F.lit(2).alias("side")).unionByName(base.select(seat, F.col("pivot").alias("doc_id"), F.lit(1).alias("side")).distinct())
+    seats = base.select("node", "block", "pivots").distinct()
+    stars = base.select(seat, "doc_id", F.lit(2).alias("side")).unionByName(seats.select(seat, F.explode("pivots").alias("doc_id"), F.lit(1).alias("side")))
     early = small.where("tree = 0").select("node", "doc_id", F.lit(0).alias("side")).unionByName(stars)
     first = materialise(confirm(docs, early, how.percent), "links")
 
-    known = connected_components(first).withColumnsRenamed({"vertex": "doc_id", "component": "c"})
+    known = connected_components(first, rounds=2).withColumnsRenamed({"vertex": "doc_id", "component": "c"})
     part = F.coalesce("c", "doc_id").alias("c")
     late = small.where("tree > 0").join(known, "doc_id", "left").select("node", "doc_id", part)
     mixed = late.groupBy("node").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("node")
     late = late.join(mixed, "node").select("node", "doc_id", F.lit(0).alias("side"))
-    # large nodes: every set outside the node's largest component meets every set of the node, block by block
-    cut = materialise(dealt.join(known, "doc_id", "left").select("node", "doc_id", "blocks", "block", part), "large")
-    main = cut.groupBy("node", "c").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("main"), (F.sum("k") - F.max("k")).alias("out")).where("out > 0")
-    met = cut.join(main.select("node", "main", blocks(F.col("out")).alias("groups")), "node")
-    one = met.where("c <> main").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int"))
+    # large nodes: every set meets every set of the node, block by block, but for those of its largest component among themselves
+    cut = materialise(dealt.join(known, "doc_id", "left").select("tree", "node", "doc_id", "blocks", "block", part), "large")
+    main = cut.groupBy("node", "c").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("n")).where("k < n")
+    # the first tree's nodes compare all; another node may leave out the pairs that one of these has compared
+    base = cut.where("tree = 0").select(F.col("node").alias("base"), "doc_id")
+    shared = cut.where("tree > 0").select("node", "doc_id").join(base, "doc_id").groupBy("node", "base").agg(F.count("*").alias("j")).groupBy("node").agg(F.max_by("base", F.struct("j", "base")).alias("base"), F.max("j").alias("j"))
+    choice = main.join(shared, "node", "left").withColumn("by_base", F.coalesce(F.col("j") > F.col("k"), F.lit(False)))
+    choice = choice.withColumn("out", F.col("n") - F.when(F.col("by_base"), F.col("j")).otherwise(F.col("k"))).where("out > 0")
+    choice = materialise(choice.select("node", "main", "base", "by_base", blocks(F.col("out")).alias("groups")), "choice")
+    met = cut.join(choice, "node").join(base.withColumn("known", F.lit(True)), ["base", "doc_id"], "left")
+    met = met.withColumn("covered", F.when(F.col("by_base"), F.coalesce("known", F.lit(False))).otherwise(F.col("c") == F.col("main")))
+    one = met.where(~F.col("covered")).withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int"))
     meet = F.xxhash64(F.lit("rest"), "node", "group", "block").alias("node")
     one = one.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(meet, "doc_id", F.lit(1).alias("side"))
     other = met.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(meet, "doc_id", F.lit(2).alias("side"))
