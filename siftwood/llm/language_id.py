@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwood.llm.shared import arrow_map, held_out, split_words, text_slices
+from siftwood.llm.shared import arrow_map, give_back, held_out, split_words, text_slices
 
 SAMPLE_DOCS = 300
 EM_ROUNDS = 3
@@ -201,7 +201,9 @@ def train(docs: DataFrame, model_file: str, sample_docs: int = SAMPLE_DOCS) -> U
     counts = np.zeros((len(coded.dictionary), len(languages)))
     column = {k: i for i, k in enumerate(languages)}
     counts[np.asarray(coded.indices), [column[x] for x in seen.column("lang").to_pylist()]] = seen.column("n").to_numpy()
-    return fit(coded.dictionary.to_pylist(), counts, languages, vocabulary(model_file))
+    model = fit(coded.dictionary.to_pylist(), counts, languages, vocabulary(model_file))
+    give_back()  # the driver keeps the model only
+    return model
 
 
 def identify(docs: DataFrame, model: UnigramModel | None) -> DataFrame:

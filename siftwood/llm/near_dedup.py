@@ -82,10 +82,12 @@ def pivots(members: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """node, pivots, alike: up to eight members picked by a hash, and the largest share of places in which one agrees with the members on average."""
     lowest = members.groupBy("node").agg(*(F.min(F.when(F.pmod(F.xxhash64("doc_id", "node"), F.lit(8)) == i, F.struct(F.xxhash64("doc_id"), "doc_id"))).alias(f"p{i}") for i in range(8)))
     tried = lowest.select("node", F.explode(F.array_compact(F.array(*(F.col(f"p{i}.doc_id") for i in range(8))))).alias("pivot"))
-    tried = tried.join(sets.select(F.col("doc_id").alias("pivot"), F.col("minima").alias("own")), "pivot")
-    alike = F.size(F.filter(F.zip_with("minima", "own", lambda a, b: a == b), lambda x: x)) / how.coordinates
-    votes = members.join(sets, "doc_id").join(tried, "node").groupBy("node", "pivot").agg(F.avg(alike).alias("v"))
-    return votes.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"), F.max("v").alias("alike"))
+    tried = tried.join(sets.select(F.col("doc_id").alias("pivot"), F.col("minima").alias("own")), "pivot").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pivot", "own"))).alias("tried"))
+    # one row per member whatever the number of pivots
+    agree = lambda t: F.size(F.filter(F.zip_with("minima", t["own"], lambda a, b: a == b), lambda x: x)) / how.coordinates
+    shares = members.join(sets, "doc_id").join(tried, "node").select("node", F.transform("tried", agree).alias("shares"))
+    votes = shares.groupBy("node").agg(F.greatest(*(F.avg(F.get("shares", F.lit(i))) for i in range(8))).alias("alike"))
+    return tried.select("node", F.transform("tried", lambda t: t["pivot"]).alias("pivots")).join(votes, "node")
 
 
 def branch(sets: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
