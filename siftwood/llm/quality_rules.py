@@ -35,17 +35,12 @@ SPACE = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest distances that pass, and the least characters and words for each to be judged.
-
-    reference_share: languages with a smaller share of the rows are held against all rows together,
-    which bounds the number of references.
-    """
+    """Largest distances that pass, and the least characters and words for each to be judged."""
 
     char_distance: float = 0.25
     word_distance: float = 0.36
     min_chars: int = 200
     min_words: int = 100
-    reference_share: float = 0.001
 
 
 @lru_cache(maxsize=1)
@@ -125,18 +120,13 @@ def measure(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {MEASURES}")
 
 
-def references(measured: DataFrame, share: float) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms by language; under None those of all rows. At most 1 / share languages."""
-    sizes = measured.groupBy("lang").count()
-    total = measured.count()
-    named = [r["lang"] for r in sizes.where((F.col("count") >= share * total) & F.col("lang").isNotNull()).collect()]
-    lang = F.when(F.col("lang").isin(named), F.col("lang"))
-    both = measured.select(lang.alias("lang"), F.posexplode(F.concat("chars", "words")).alias("bin", "n"))
-    sums: dict[str | None, np.ndarray] = {k: np.zeros(len(CHAR_CLASSES) + WORD_BINS) for k in [None, *named]}
-    for r in both.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
-        sums[r["lang"]][r["bin"]] += r["n"]
-    sums[None] = sum(sums.values(), np.zeros(len(CHAR_CLASSES) + WORD_BINS))
-    return {k: (v[: len(CHAR_CLASSES)], v[len(CHAR_CLASSES) :]) for k, v in sums.items()}
+def references(measured: DataFrame) -> DataFrame:
+    """lang, ref_chars, ref_words: summed histograms of every language, however rare."""
+    both = measured.where(F.col("lang").isNotNull()).select("lang", F.posexplode(F.concat("chars", "words")).alias("bin", "n"))
+    bins = both.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    sums = bins.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("sums"))
+    k = len(CHAR_CLASSES)
+    return sums.select("lang", F.slice("sums", 1, k).alias("ref_chars"), F.slice("sums", k + 1, WORD_BINS).alias("ref_words"))
 
 
 def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -153,25 +143,29 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): counts, base_failed, kept, char_distance, word_distance.
 
-    References cover all rows. A null or rare language is held against all rows together. A null or empty
-    text has no words and so fails the base rules. Repeated rows are judged each.
+    References cover all rows, one a language. A null language is held against every language, and the
+    smallest distance of each kind counts; without any language there is none to diverge from. A null or
+    empty text has no words and so fails the base rules. Repeated rows are judged each.
     """
     measured = materialise(measure(docs), "measures")
-    found = references(measured, limits.reference_share)
-    names = {k: i for i, k in enumerate(found)}
-    chars, words = (np.stack([v[j] for v in found.values()]) for j in (0, 1))
+    found = materialise(references(measured), "references")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = np.array([names.get(k, names[None]) for k in batch.column("lang").to_pylist()])
-            c, w = (np.asarray(batch.column(k).flatten()).reshape(batch.num_rows, -1) for k in ("chars", "words"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(k) for k in counts), pa.array(c.sum(axis=1)), pa.array(distances(c, chars[at])), pa.array(distances(w, words[at]))], ["doc_id", *counts, "n", "char_distance", "word_distance"])
-
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in counts)}, n long, char_distance double, word_distance double"
-    compared = arrow_map(measured, compare, kind)
+            c, w, rc, rw = (np.asarray(batch.column(k).flatten()).reshape(batch.num_rows, -1) for k in ("chars", "words", "ref_chars", "ref_words"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "doc_id", *counts)), pa.array(c.sum(axis=1)), pa.array(distances(c, rc)), pa.array(distances(w, rw))], ["row", "doc_id", *counts, "n", "char_distance", "word_distance"])
+
+    kind = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in counts)}, n long, char_distance double, word_distance double"
+    none = lambda k: F.array_repeat(F.lit(0).cast("long"), k)
+    refs = [F.coalesce("ref_chars", none(len(CHAR_CLASSES))).alias("ref_chars"), F.coalesce("ref_words", none(WORD_BINS)).alias("ref_words")]
+    with_refs = lambda rows: arrow_map(rows.select("row", "doc_id", *counts, "chars", "words", *refs), compare, kind)
+    named = measured.where(F.col("lang").isNotNull()).withColumn("row", F.lit(0).cast("long")).join(found, "lang", "left")
+    unnamed = measured.where(F.col("lang").isNull()).withColumn("row", F.monotonically_increasing_id()).join(found.drop("lang"), F.lit(True), "left")
+    least = with_refs(unnamed).groupBy("row", "doc_id", *counts, "n").agg(F.min("char_distance").alias("char_distance"), F.min("word_distance").alias("word_distance"))
+    compared = with_refs(named).unionByName(least)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     diverges = ((F.col("n") >= limits.min_chars) & (F.col("char_distance") > limits.char_distance)) | ((F.col("n_words") >= limits.min_words) & (F.col("word_distance") > limits.word_distance))
     return compared.select("doc_id", *counts, failed.alias("base_failed"), (~failed & ~diverges).alias("kept"), "char_distance", "word_distance")

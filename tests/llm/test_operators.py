@@ -391,6 +391,17 @@ def test_divergence_drops_symbols_and_keeps_prose(spark, docs):
     assert not any(kept[r.doc_id] for r in junk.collect())
 
 
+def test_rare_and_unnamed_languages_have_references(spark, docs):
+    many = docs.select("doc_id", "text", "lang").where("lang = 'en'").crossJoin(spark.range(40).withColumnRenamed("id", "copy")).drop("copy")
+    german = docs.select("doc_id", "text", "lang").where("lang = 'de' and n_chars > 1500").orderBy("doc_id").limit(4)
+    marked = lambda by, lang: german.select((F.col("doc_id") + by).alias("doc_id"), "text", F.lit(lang).cast("string").alias("lang"))
+    rows = quality_rules.judge(many.unionByName(marked(1_000_000, "rare")).unionByName(marked(2_000_000, None))).where("doc_id >= 1000000").collect()
+    judged = [r for r in rows if r.n_words >= 100 and not r.base_failed]
+    assert len(rows) == 8 and many.count() > 4000 and judged and all(r.kept for r in judged)
+    only = quality_rules.judge(marked(0, None)).collect()  # no language to diverge from
+    assert len(only) == 4 and all(r.char_distance == r.word_distance == 0 and r.kept != r.base_failed for r in only)
+
+
 def test_distances():
     a = np.array([[1, 0], [1, 1], [0, 0]])
     assert np.allclose(quality_rules.distances(a, np.array([[0, 1], [1, 1], [1, 1]])), [1, 0, 0])
