@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,8 @@ EM_ROUNDS = 3
 #: Keeps products of piece probabilities within a double for words up to BLOCK pieces long.
 SCALE = 64.0
 BLOCK = 96
+#: Scaled sums below this are made anew from logarithms, long before a double loses bits.
+FAINT = 1e-250
 UNKNOWN = 0
 FLOOR = 1e-7
 CACHED_WORDS = 150_000
@@ -70,10 +73,26 @@ class Lattice:
         row, end, size, piece = (np.frombuffer(x, np.int32).astype(np.int64) for x in (row, end, size, piece))
         order = np.lexsort((size, end))
         self.row, self.end, self.size, self.piece = row[order], end[order], size[order], piece[order]
+        self._cut()
+
+    def _cut(self) -> None:
         key = self.end * (1 << 20) + self.size
         cuts = np.flatnonzero(np.diff(key)) + 1
         self.steps = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True)) if len(key) else []
 
+    def only(self, chosen: np.ndarray) -> Lattice:
+        """The lattice of the chosen words."""
+        part, kept = copy(self), chosen[self.row]
+        part.lengths, part.row = self.lengths[chosen], (np.cumsum(chosen) - 1)[self.row[kept]]
+        part.end, part.size, part.piece = self.end[kept], self.size[kept], self.piece[kept]
+        part._cut()
+        return part
+
+    def faint(self, sums: np.ndarray) -> np.ndarray:
+        """The words with a scaled sum, at any position and in any language, too small to be trusted."""
+        inside = np.arange(sums.shape[1]) <= self.lengths[:, None]
+        return ((sums < FAINT).any(axis=2) & inside).any(axis=1)
+
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """Scaled sums over the segmentations of each prefix: word x position x language."""
         alpha = np.zeros((len(self.lengths), int(self.lengths.max(initial=0)) + 1, prob.shape[1]))
@@ -91,17 +110,56 @@ class Lattice:
             beta[r, e - n] += beta[r, e] * (prob[self.piece[a:b]] * SCALE**n)
         return beta
 
+    def log_forward(self, prob: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums of forward, without SCALE; slower, and never too small to hold."""
+        logs = np.log(prob)
+        alpha = np.full((len(self.lengths), int(self.lengths.max(initial=0)) + 1, prob.shape[1]), -np.inf)
+        alpha[:, 0] = 0
+        for a, b in self.steps:
+            e, n, r = int(self.end[a]), int(self.size[a]), self.row[a:b]
+            alpha[r, e] = np.logaddexp(alpha[r, e], alpha[r, e - n] + logs[self.piece[a:b]])
+        return alpha
+
+    def log_backward(self, prob: np.ndarray) -> np.ndarray:
+        logs = np.log(prob)
+        beta = np.full((len(self.lengths), int(self.lengths.max(initial=0)) + 1, prob.shape[1]), -np.inf)
+        beta[np.arange(len(self.lengths)), self.lengths] = 0
+        for a, b in reversed(self.steps):
+            e, n, r = int(self.end[a]), int(self.size[a]), self.row[a:b]
+            beta[r, e - n] = np.logaddexp(beta[r, e - n], beta[r, e] + logs[self.piece[a:b]])
+        return beta
+
     def log_likelihood(self, prob: np.ndarray) -> np.ndarray:
-        total = self.forward(prob)[np.arange(len(self.lengths)), self.lengths]
-        return np.log(total) - (self.lengths * np.log(SCALE))[:, None]
+        alpha = self.forward(prob)
+        faint = self.faint(alpha)
+        total = alpha[np.arange(len(self.lengths)), self.lengths]
+        total[faint] = 1
+        out = np.log(total) - (self.lengths * np.log(SCALE))[:, None]
+        if faint.any():
+            part = self.only(faint)
+            out[faint] = part.log_forward(prob)[np.arange(len(part.lengths)), part.lengths]
+        return out
 
     def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each language's words, seen ``counts`` times, use each piece."""
         alpha, beta = self.forward(prob), self.backward(prob)
+        faint = self.faint(alpha) | self.faint(beta)
+        if faint.any():
+            clear = self.only(~faint).expected(prob, counts[~faint]) if not faint.all() else 0
+            return clear + self.only(faint)._expected_faint(prob, counts[faint])
         total = alpha[np.arange(len(self.lengths)), self.lengths]
         share = alpha[self.row, self.end - self.size] * prob[self.piece] * (SCALE**self.size)[:, None] * beta[self.row, self.end]
         share *= (counts / total)[self.row]
-        return np.stack([np.bincount(self.piece, share[:, k], len(prob)) for k in range(prob.shape[1])], axis=1)
+        return self._by_piece(share, len(prob))
+
+    def _expected_faint(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        alpha, beta = self.log_forward(prob), self.log_backward(prob)
+        total = alpha[np.arange(len(self.lengths)), self.lengths]
+        share = np.exp(alpha[self.row, self.end - self.size] + np.log(prob)[self.piece] + beta[self.row, self.end] - total[self.row])
+        return self._by_piece(share * counts[self.row], len(prob))
+
+    def _by_piece(self, share: np.ndarray, pieces: int) -> np.ndarray:
+        return np.stack([np.bincount(self.piece, share[:, k], pieces) for k in range(share.shape[1])], axis=1)
 
 
 def long_word_likelihood(word: str, index: dict[str, int], prob: np.ndarray) -> np.ndarray:
@@ -238,8 +296,10 @@ def identify(docs: DataFrame, model: UnigramModel | None) -> DataFrame:
                         table = np.concatenate((table[:first], np.zeros((2 * len(rows) - first, table.shape[1]))))
                     table[first : len(rows)] = model.word_scores(new)
                 ids = np.fromiter((rows[w] for w in distinct), np.int64, len(distinct))
-                sums = np.concatenate((np.zeros((1, table.shape[1])), np.cumsum(table[ids[np.asarray(coded.indices)]], axis=0)))
-                total = sums[starts[1:]] - sums[starts[:-1]]
+                # each text's own sum: a difference of running sums would depend on the texts before it
+                total, filled = np.zeros((batch.num_rows, table.shape[1])), starts[1:] > starts[:-1]
+                if filled.any():
+                    total[filled] = np.add.reduceat(table[ids[np.asarray(coded.indices)]], starts[:-1][filled], axis=0)
                 lettered = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 share = np.exp(total - total.max(axis=1, keepdims=True))
                 share /= share.sum(axis=1, keepdims=True)

@@ -96,6 +96,28 @@ def test_em_raises_the_likelihood():
     assert scores[0] <= scores[1] + 1e-6 <= scores[2] + 2e-6
 
 
+def test_long_unlike_words_keep_their_sums():
+    pieces = ["\0", "▁", "a", "b", "ab", "▁ab"]
+    words, counts = ["ab" * 20, "c" * 62, "ac" * 45, "b" + "c" * 95, "ab"], np.array([[9.0, 1.0], [0.0, 1.0], [0.0, 2.0], [1.0, 0.0], [4.0, 4.0]])
+    floored = np.full((len(pieces), 2), language_id.FLOOR)
+    floored[2:, 0] = floored[0, 1] = 0.2
+    model = language_id.UnigramModel(["x", "y"], pieces, floored)
+    scores = model.word_scores(words)
+    assert np.isfinite(scores).all() and np.allclose(scores, [language_id.long_word_likelihood(w, model.index, floored) for w in words], rtol=1e-9)
+    lattice = language_id.Lattice(words, model.index)
+    assert np.allclose(lattice.expected(floored, counts), sum(language_id.Lattice([w], model.index)._expected_faint(floored, counts[[i]]) for i, w in enumerate(words)))
+    assert np.isfinite(language_id.fit(words, counts, ["x", "y"], pieces, 8).prob).all()
+
+
+def test_long_runs_leave_their_neighbours_alone(spark, docs):
+    model = language_id.train(docs, model_file())
+    clean = docs.select("doc_id", "text").where("text <> ''").orderBy("doc_id").limit(20).coalesce(1)
+    runs = spark.createDataFrame([(-1, "é" * 80), (-2, "漢字仮名交" * 16), (-3, "ก" * 95 + " ж" + "ж" * 70)], "doc_id long, text string").coalesce(1)
+    said = lambda df: {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.identify(df.coalesce(1), model).collect()}
+    alone, beside = said(clean), said(runs.unionByName(clean))
+    assert alone == {k: v for k, v in beside.items() if k >= 0} and all(0 <= v[1] <= 1 for v in beside.values())
+
+
 def test_language_accuracy_on_held_out(spark, docs):
     model = language_id.train(docs, model_file())
     rows = language_id.identify(docs, model).where(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
