@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows. DataFrame functions only.
 
-A window of a document is as long, in words, as a benchmark item. Windows are laid wherever a document
-shares a shingle with an item, in the place that brings the two onto each other; a window that shares no
-shingle in place with any item cannot reach the least similarity. Windows and items get 64-bit SimHash
+A window of a document is as long, in words, as a benchmark item. Similarity takes no account of order,
+so windows are laid at every position where they hold enough shingles that items of their length have,
+wherever in the item these stand: a window with fewer cannot reach the least similarity, which its
+shared shingles over the item's own bound. Windows and items get 64-bit SimHash
 fingerprints of their shingles, weighted by how often each occurs. Fingerprints are cut into radius + 1
 blocks, so two of them within the radius agree on a block at least: an equi-join on length, block number
 and block value finds all such pairs. Pairs within the radius are then held to the exact weighted
@@ -86,6 +87,20 @@ def items_of(benchmark: DataFrame, how: Match) -> DataFrame:
     return words.select("item_id", "n", F.least("n", F.lit(SHINGLE)).alias("k"), few.alias("shingles"))
 
 
+def starts_of(at: Column, n: Column, how: Match) -> Column:
+    """Where windows of n words start that hold enough of the shared shingles at these sorted positions.
+
+    Similarity is at most the shared shingles over the item's. The i-th position is a window's first
+    if the window starts after the position before it, and the window holds enough if it reaches
+    the position that many further on.
+    """
+    last = n - F.least(n, F.lit(SHINGLE))  # from a window's start to its last shingle
+    least = F.greatest(F.ceil((how.similarity - 1e-6) * (last + 1)).cast("int"), F.lit(1))
+    low = lambda i: F.greatest(F.when(i > 1, F.element_at(at, i - 1) + 1).otherwise(F.element_at(at, i) - last), F.element_at(at, i + least - 1) - last)
+    runs = lambda i: F.when(low(i) <= F.element_at(at, i), F.sequence(low(i), F.element_at(at, i))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(at) >= least, F.flatten(F.transform(F.sequence(F.lit(1), F.size(at) - least + 1), runs))).otherwise(F.array().cast("array<int>"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFrame:
     """__sw_k1, __sw_k2 (a text), item_id, similarity: the best window of each text that matches an item.
 
@@ -95,25 +110,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFr
     sizes = [r[0] for r in items.select("k").distinct().collect()]  # five at most
     k1, k2 = content_key(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select(k1, k2, words_of(F.col("text")).alias("words"))
-    starts = items.select("k", "n", F.posexplode("shingles").alias("at", "shingle")).distinct()
-    starts = materialise(starts, "starts")
-    narrow = starts.count() <= BROADCAST_PLACES
+    seeds = materialise(items.select("k", "n", F.explode("shingles").alias("shingle")).distinct(), "seeds")
+    narrow = seeds.count() <= BROADCAST_PLACES
     hits = None
     for k in sizes:
         each = texts.select("__sw_k1", "__sw_k2", F.posexplode(shingles_of(F.col("words"), k)).alias("pos", "shingle"))
-        index = starts.where(F.col("k") == k).select("shingle", "at", "n")
+        index = seeds.where(F.col("k") == k).select("shingle", "n")
         # broadcast where its measured size allows, else joined by shuffle
-        laid = each.join(F.broadcast(index) if narrow else index, "shingle").select("__sw_k1", "__sw_k2", "n", (F.col("pos") - F.col("at")).alias("start"))
-        hits = laid if hits is None else hits.unionByName(laid)
+        shared = each.join(F.broadcast(index) if narrow else index, "shingle").select("__sw_k1", "__sw_k2", "n", "pos")
+        hits = shared if hits is None else hits.unionByName(shared)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "__sw_k1 long, __sw_k2 long, item_id long, similarity double").withColumn("item_id", F.col("item_id").cast(benchmark.schema["item_id"].dataType))
-    places = materialise(hits.groupBy("__sw_k1", "__sw_k2").agg(F.collect_set(F.struct("n", "start")).alias("places")), "places")
+    laid = hits.groupBy("__sw_k1", "__sw_k2", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    laid = laid.select("__sw_k1", "__sw_k2", "n", starts_of(F.col("at"), F.col("n"), how).alias("starts")).where(F.size("starts") > 0)
+    places = materialise(laid.groupBy("__sw_k1", "__sw_k2").agg(F.collect_list(F.struct("n", "starts")).alias("places")), "places")
 
-    # each text once: its windows, cut to the text where they reach over an end
+    # each text once: its shingles are made once for all windows of a size, cut to the text where they reach over an end
     once = texts.join(places, ["__sw_k1", "__sw_k2"]).dropDuplicates(["__sw_k1", "__sw_k2"])
-    cut = F.slice("words", F.greatest(F.col("p.start"), F.lit(0)) + 1, F.col("p.n") + F.least(F.col("p.start"), F.lit(0)))
-    windows = once.select("__sw_k1", "__sw_k2", F.explode("places").alias("p"), "words").select("__sw_k1", "__sw_k2", F.col("p.n").alias("n"), F.col("p.start").alias("start"), cut.alias("words"))
-    shingled = windows.withColumn("shingles", reduce(lambda acc, k: F.when(F.col("n") == k, shingles_of(F.col("words"), k)).otherwise(acc), range(1, SHINGLE), shingles_of(F.col("words"))))
+    sized = once.select("__sw_k1", "__sw_k2", F.explode("places").alias("p"), "words").select("__sw_k1", "__sw_k2", F.col("p.n").alias("n"), F.col("p.starts").alias("starts"), "words")
+    whole = sized.withColumn("all", reduce(lambda acc, k: F.when(F.col("n") == k, shingles_of(F.col("words"), k)).otherwise(acc), range(1, SHINGLE), shingles_of(F.col("words"))))
+    windows = whole.select("__sw_k1", "__sw_k2", "n", F.explode("starts").alias("start"), "all")
+    cut = F.slice("all", F.greatest("start", F.lit(0)) + 1, F.col("n") - F.least("n", F.lit(SHINGLE)) + 1 + F.least("start", F.lit(0)))
+    shingled = windows.select("__sw_k1", "__sw_k2", "n", cut.alias("shingles"))
     # windows that read the same are fingerprinted and compared once
     print_of = content_key(F.col("shingles"))
     full = shingled.where(F.size("shingles") > 0).select("__sw_k1", "__sw_k2", "n", *(c.alias(n) for c, n in zip(print_of, ("c1", "c2"), strict=True)), "shingles")

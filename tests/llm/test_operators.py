@@ -366,6 +366,29 @@ def test_leaks_equal_brute_force(spark, odd):
     assert decontaminate.drop_contaminated(odd, benchmark).columns == odd.columns
 
 
+def test_reordered_items_leak(spark):
+    w = [f"q{i}" for i in range(60)]
+    turned, thirds = w[30:] + w[:30], w[40:] + w[20:40] + w[:20]
+    rows = [(1, ["before"] * 7 + turned + ["after"] * 9), (2, turned), (3, ["x"] + thirds), (4, turned[3:] + ["y"] * 20), (5, w[:30] + ["z"] * 40 + w[30:])]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    items = [(1, " ".join(w)), (2, "q3 q4 q5")]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(rows, items)
+    assert set(got) <= set(want) and {k for k, v in want.items() if v >= 0.85} <= set(got) and {(1, 1), (2, 1)} <= set(got)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
+@pytest.mark.parametrize("n", [3, 5, 12])
+def test_window_starts_equal_brute_force(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, sorted(int(x) for x in rng.choice(40, size, replace=False))) for i, size in enumerate((1, 4, 9, 20, 33, 40))]
+    got = spark.createDataFrame(rows, "i int, at array<int>").select("i", decontaminate.starts_of(F.col("at"), F.lit(n), decontaminate.Match()).alias("s")).collect()
+    last = max(0, n - 5)
+    for r in got:
+        want = [s for s in range(-last, 40) if sum(s <= p <= s + last for p in rows[r.i][1]) >= 0.8 * (last + 1)]
+        assert sorted(r.s) == want
+
+
 def test_fingerprint_blocks_cover_all_bits(spark):
     row = spark.range(1).select(decontaminate.blocks_of(F.lit(-1).cast("long"), 19).alias("b")).first()
     assert sum(int(b.value).bit_count() for b in row.b) == 64 and len(row.b) == 20
