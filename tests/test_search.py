@@ -102,6 +102,17 @@ def test_exact_and_inverted_search(spark):
     assert dense.recall(ivf.topk_widening(asked, ivf.assign(rows), 10), exact).first()[0] >= 0.9
 
 
+def test_inverted_search_with_more_lists_than_probes(spark, monkeypatch):
+    from siftwood import queries
+
+    x = np.random.default_rng(1).normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "docid long, vec array<float>").cache()
+    monkeypatch.setattr(queries, "embeddings", lambda *_: rows)
+    exact = dense.topk(queries.probes_of(rows), rows, 10).where("query_id <> docid")
+    assert dense.recall(queries.l3_inverted_file(spark, ""), exact).first()[0] >= 0.9
+
+
 def test_fusion_keeps_order_of_first_sight(spark):
     lists = spark.createDataFrame([(1, 0, 5, 0), (1, 1, 6, 0), (1, 0, 7, 1), (1, 1, 7, 1)], "query_id int, list_no int, docid long, rank int")
     assert [r.docid for r in fusion.rrf(lists).orderBy("rank").collect()] == [7, 5, 6]
