@@ -135,8 +135,8 @@ def t7_deletes(spark, sf_dir):
 
 @query()
 def t8_edit_distance(spark, sf_dir):
-    tokens = benchmark(spark, sf_dir).select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
-    pairs = tokens.select("token", F.explode(T.deletes(F.col("token"))).alias("key")).where(F.length("key") >= 4)
+    tokens = benchmark(spark, sf_dir).select(F.explode(T.tokenize(F.col("text"))).alias("token")).where(F.length("token") >= 4).distinct()
+    pairs = tokens.select("token", F.explode(T.deletes(F.col("token"))).alias("key"))
     both = pairs.join(pairs.withColumnRenamed("token", "other"), "key").where("token < other").select("token", "other").distinct()
     return both.withColumn("edit", V.osa_distance("token", "other"))
 

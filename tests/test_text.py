@@ -75,6 +75,18 @@ def test_edit_distance(a, b, d):
     assert V.osa(a, b) == d
 
 
+def test_edit_pairs_equal_brute_force(spark, monkeypatch):
+    from siftwood import queries
+
+    words = "form from fork abcde abxye word words sword the tea longest longets unlike".split()
+    monkeypatch.setattr(queries, "benchmark", lambda *_: spark.createDataFrame([(1, " ".join(words))], "query_id int, text string"))
+    once = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+    keys = {w: once(w).union(*map(once, once(w))) for w in words if len(w) >= 4}
+    want = {(a, b, V.osa(a, b)) for a in keys for b in keys if a < b and keys[a] & keys[b]}
+    assert {tuple(r) for r in queries.t8_edit_distance(spark, "").collect()} == want
+    assert {("form", "from", 1), ("abcde", "abxye", 2)} <= want
+
+
 @given(st.text("абcx ё", max_size=30))
 @settings(max_examples=50, deadline=None)
 def test_simhash_ignores_order(text):
