@@ -237,6 +237,12 @@ def a6_spelling_keys(spark, sf_dir):
     return spelling_keys(words).groupBy("delete_key").agg(F.count("*").alias("n"), F.max("df").alias("df"))
 
 
+@query()
+def a6_spelling_keys_whole(spark, sf_dir):
+    """The keys of the whole lexicon; the SQL of a6_spelling_keys reaches terms of up to 8 characters only."""
+    return spelling_keys(Index.build(documents(spark, sf_dir)).lexicon).groupBy("delete_key").agg(F.count("*").alias("n"), F.max("df").alias("df"))
+
+
 # --- lexical retrieval -----------------------------------------------------------------------------
 
 

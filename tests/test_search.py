@@ -62,6 +62,23 @@ def test_repair(spark, index):
     assert (1, "river") in got and any(t.startswith("альф") for q, t in got if q == 2)
 
 
+def test_spelling_keys_of_long_terms(spark, monkeypatch):
+    from siftwood import queries
+
+    texts = ["encyclopedia station form", "encyclopedia stations from", "form crystallography", "from crystallography station encyclopedia"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "docid long, text string")
+    monkeypatch.setattr(queries, "documents", lambda *_: rows)
+    lexicon = {r.term: r.df for r in Index.build(rows).lexicon.collect() if r.df >= 2 and len(r.term) >= 4}
+    once = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+    want = {}
+    for w, df in lexicon.items():
+        for key in once(w).union(*map(once, once(w))):
+            n, most = want.get(key, (0, 0))
+            want[key] = (n + 1, max(most, df))
+    assert any(len(w) > 8 for w in lexicon)
+    assert {r.delete_key: (r.n, r.df) for r in queries.QUERIES["a6_spelling_keys_whole"](spark, "").collect()} == want
+
+
 def test_operators_are_parsed_alike(spark):
     texts = ['source:a.txt огонь -вода "алая заря" heading:Глава', "просто", "", 'x "-y z" source:', "-"]
     rows = plans.parsed(spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")).orderBy("query_id").collect()
