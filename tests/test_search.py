@@ -219,6 +219,14 @@ def test_logistic_fit():
     assert evaluation.fit_logistic(np.ones(10), np.ones(10))[0] == 0
 
 
+def test_probes_lie_anywhere_in_their_documents(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.range(20_000).select(F.col("id").alias("docid"), F.lit(text).alias("text"))
+    got = [r.text.split() for r in evaluation.probes(docs, 20).collect()]
+    starts, sizes = [int(t[0][1:]) for t in got], {len(t) for t in got}
+    assert len(got) == 20 and max(starts) > 150 and min(starts) < 150 and len(sizes) > 2 and sizes <= set(range(6, 11))
+
+
 def test_metrics(spark):
     gold = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "query_id int, docid long")
     ranked = spark.createDataFrame([(1, 1, 0), (2, 9, 0), (2, 2, 1)], "query_id int, docid long, rank int")
