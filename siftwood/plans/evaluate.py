@@ -57,8 +57,11 @@ def facts(spark: SparkSession, n: int) -> DataFrame:
     return spark.createDataFrame([(i, *made[k]) for i, k in enumerate(order.tolist())], "docid long, text string, question string")
 
 
-def capacity(spark: SparkSession, sizes: list[int], asked: int = 50, conf: tuple[float, float] = (38.7, -28.0)) -> DataFrame:
-    """stored, acc_at_1, false_confident, familiarity_known, familiarity_novel for growing numbers of facts."""
+def capacity(spark: SparkSession, sizes: list[int], asked: int = 300, conf: tuple[float, float] = (38.7, -28.0)) -> DataFrame:
+    """stored, acc_at_1, false_confident, familiarity_known, familiarity_novel for growing numbers of facts.
+
+    The first ``asked`` facts are asked for, which a hash has put there, or all where fewer are stored.
+    """
     from siftwood.functions.numeric import calibrated
 
     out = None
@@ -66,7 +69,7 @@ def capacity(spark: SparkSession, sizes: list[int], asked: int = 50, conf: tuple
         rows = facts(spark, m)
         model = dense.Embedder({})
         stored = materialise(feedback.codes(model.embed(rows)), "facts")
-        wanted = model.embed(rows.where(F.col("docid") % max(1, m // asked) == 0).select(F.col("docid").alias("query_id"), F.col("question").alias("text")))
+        wanted = model.embed(rows.where(F.col("docid") < asked).select(F.col("docid").alias("query_id"), F.col("question").alias("text")))
         wanted = materialise(feedback.codes(wanted.select("query_id", "vec")), "asked")
         first = dense.topk(wanted, stored, 1).withColumn("conf", calibrated(F.col("score"), *conf))
         novel = model.embed(spark.createDataFrame([(-i - 1, f"zq{i} vx{i * 7} совсем {i * 13} иное") for i in range(asked)], "query_id long, text string"))

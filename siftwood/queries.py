@@ -715,7 +715,7 @@ def q10_eval_rank(spark, sf_dir):
 def q10_capacity(spark, sf_dir):
     from siftwood.plans import evaluate
 
-    return evaluate.capacity(spark, [200, 1000])
+    return evaluate.capacity(spark, [500, 1000, 2500, 5000, 10000, 20000])
 
 
 @query()

@@ -235,6 +235,18 @@ def test_metrics(spark):
     assert abs(r.mrr - (1 + 0.5 + 1 / 99) / 3) < 1e-9
 
 
+def test_capacity_asks_as_many_as_the_reference(spark, monkeypatch):
+    from siftwood import queries
+    from siftwood.plans import evaluate
+
+    seen = []
+    real = dense.topk
+    monkeypatch.setattr(dense, "topk", lambda wanted, *rest: seen.append(wanted.count()) or real(wanted, *rest))
+    assert evaluate.capacity(spark, [350]).first().stored == 350 and seen == [300]
+    monkeypatch.setattr(evaluate, "capacity", lambda spark, sizes: sizes)
+    assert queries.q10_capacity(spark, "") == [500, 1000, 2500, 5000, 10000, 20000]
+
+
 def test_calibrated_threshold(spark):
     rows = spark.createDataFrame([(0.9, True), (0.8, True), (0.7, False)], "score double, right boolean")
     assert evaluation.pick_threshold(evaluation.sweep(rows, [0.6, 0.75, 0.85])).first().threshold == 0.75
