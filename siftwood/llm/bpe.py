@@ -1,17 +1,20 @@
 """Byte-level BPE over overlapping chunks, and its inverse.
 
-A document is cut into chunks that reach into their successors. Each chunk is pre-tokenised from its
-own start; where the boundaries of two neighbours first agree inside their overlap, both follow the
-true segmentation from there on. A chunk owns the pre-tokens between its two meeting points and encodes
-them, so a very long document is the work of many tasks. Where neighbours never agree (one pre-token
-spans the overlap) the document is encoded in one piece. Decoding concatenates the ids' bytes.
+A text is cut into chunks that reach into their successors. Each chunk is pre-tokenised from its own start;
+where the boundaries of two neighbours first agree inside their overlap, both follow the true segmentation
+from there on, and the pre-tokens up to that place are encoded. Where they don't agree (one pre-token spans the
+overlap) the first chunk is taken twice as long. Chunks of one task follow each other; a long text is cut into
+spans of chunks, which are the work of many tasks. A span begins where its predecessor ends, or else the text's
+spans are put together again for one task. Decoding concatenates the ids' bytes.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwood.llm.shared import arrow_map, content_key, materialise, text_slices
+from siftwood.llm.shared import arrow_map, content_key, materialise, salted_join, text_slices
 
-CHUNK = 32_768
-OVERLAP = 1_024
+CHUNK = 1_024
+OVERLAP = 128
+#: Chunks of one span.
+SPAN = 64
 #: Characters at a cut that may still change the pre-tokens before them: no alternative looks further ahead.
 MARGIN = 8
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 
 
 @lru_cache(maxsize=2)
@@ -44,30 +49,82 @@ def splitter(pattern: str):
     return regex.compile(pattern)
 
 
-def boundaries(text: str, begin: int, end: int, pattern: str) -> list[int]:
-    """Where pre-tokens start or end when splitting text[begin:end] from begin, as far as the cut at end can't change them."""
-    found = [begin, *(m.end() for m in splitter(pattern).finditer(text, begin, end))]
-    return found if end == len(text) else [b for b in found if b <= end - MARGIN]
+class Pieces(dict):
+    """Ids by pre-token; short ones are kept."""
 
+    def __init__(self, ranks_file: str, pattern: str):
+        self.merge = encoder(ranks_file, pattern)._encode_single_piece
 
-def owned_pieces(text: str, begin: int, last: bool, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str] | None:
-    """The pre-tokens that a chunk owns; None where it never agrees with a neighbour.
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.merge(piece)
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
 
-    text holds the chunk's predecessor (unless begin is 0), the chunk from begin on, and the overlap after it.
+
+def meeting(own: list[str], end: int, after: list[str], cut: int, limit: int) -> tuple[int, int, int] | None:
+    """The first place from cut to limit where pre-tokens of both lists begin or end, with how many of each lie before it.
+
+    own ends at ``end``, after begins at ``cut``.
+    """
+    seen, place, k = {end: len(own)}, end, len(own)
+    while k and place > cut:
+        k -= 1
+        place -= len(own[k])
+        seen[place] = k
+    place = cut
+    for j, piece in enumerate((*after, "")):
+        if place > limit:
+            return None
+        if place in seen:
+            return seen[place], j, place
+        place += len(piece)
+    return None
+
+
+def runs(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, final: bool = True) -> Iterator[tuple[int, list[str]]]:
+    """Runs of pre-tokens with their places, from chunks that start at multiples of chunk. final: the text ends here."""
+    split, n = splitter(pattern).findall, len(text)
+    begin, at, width, own = 0, 0, chunk, split(text, 0, min(n, chunk + overlap))
+    while begin + width < n:
+        cut = begin + width
+        end, after = min(n, cut + overlap), split(text, cut, min(n, cut + chunk + overlap))
+        met = meeting(own, end, after, cut, end if final and end == n else end - MARGIN)
+        if met is None:
+            width *= 2
+            own = split(text, at, min(n, begin + width + overlap))
+            continue
+        k, j, place = met
+        yield at, own[:k]
+        begin, at, width, own = cut, place, chunk, after[j:]
+        if place == n:
+            return
+    yield at, own
+
+
+def whole_ids(text: str, pieces: Pieces, pattern: str, chunk: int, overlap: int) -> np.ndarray:
+    out = array("i")
+    for _, run in runs(text, pattern, chunk, overlap):
+        out.extend(chain.from_iterable(map(pieces.__getitem__, run)))
+    return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
+
+
+def span_ids(text: str, lead: int, last: bool, pieces: Pieces, pattern: str, chunk: int, overlap: int) -> tuple[int, int, list[int]] | None:
+    """Where a span begins and ends in its text, and the ids between; None where a chunk next to it never agrees.
+
+    text: lead characters (one chunk, or none) of the predecessor, the span, and the overlap after it.
     """
-    own = boundaries(text, begin, len(text) if last else min(len(text), begin + chunk + overlap), pattern)
-    first, stop = begin, len(text)
-    if begin:
-        before = set(boundaries(text, 0, min(len(text), begin + overlap), pattern))
-        first = next((b for b in own if b <= begin + overlap and b in before), None)
-    if not last:
-        cut = begin + chunk
-        after = set(boundaries(text, cut, len(text), pattern))
-        stop = next((b for b in own if cut <= b and b in after), None)
-    if first is None or stop is None:
-        return None
-    inside = [b for b in own if first <= b <= stop]
-    return [text[a:b] for a, b in zip(inside, inside[1:], strict=False)]
+    end = len(text) if last else len(text) - overlap
+    first, stop, out = None, None, array("i")
+    for at, run in runs(text, pattern, chunk, overlap, last):
+        if at >= end and not last:
+            stop = at
+            break
+        if at >= lead:
+            first = at if first is None else first
+            out.extend(chain.from_iterable(map(pieces.__getitem__, run)))
+    stop = len(text) if last else stop
+    return None if first is None or stop is None or first > lead + overlap else (first - lead, stop - lead, out.tolist())
 
 
 def _ids(arrays: list[np.ndarray]) -> pa.Array:
@@ -75,55 +132,53 @@ def _ids(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)))
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, back: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, span: int = SPAN, back: bool = False) -> DataFrame:
     """Every row of docs with ids (array<int>) in place of text. A null or empty text has no ids. A column ids is replaced.
 
-    back: decodes as well, see round_trip.
+    The pattern must match all of any text. Texts of any length, and pre-tokens longer than a chunk, take the
+    same path. back: decodes as well, see round_trip.
     """
     docs = docs.drop("ids")
     others = [c for c in docs.columns if c != "text"]
     wanted = T.StructType([*(docs.schema[c] for c in others), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    size = F.length("text")
-    short = docs.where(size.isNull() | (size <= chunk))
+    size, reach = F.length("text"), span * chunk
+    short = docs.where(size.isNull() | (size <= reach))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_file, pattern)
+        pieces = Pieces(ranks_file, pattern)
         for batch in text_slices(batches):
-            ids = _ids([enc.encode_to_numpy(t, disallowed_special=()).astype(np.int32) if t else np.zeros(0, np.int32) for t in batch.column("text").to_pylist()])
+            if len(pieces) > CACHED_PIECES:
+                pieces.clear()
+            ids = _ids([whole_ids(t or "", pieces, pattern, chunk, overlap) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), ids], [*others, "ids"])
 
-    # long documents: equal rows are encoded once; chunks carry their predecessor, so that no task needs another's result
-    long = docs.where(size > chunk).withColumns(dict(zip(("__sw_k1", "__sw_k2"), content_key(F.col("text")), strict=True)))
+    # long texts: equal rows are encoded once
+    long = docs.where(size > reach).withColumns(dict(zip(("__sw_k1", "__sw_k2"), content_key(F.col("text")), strict=True)))
     texts = long.select("__sw_k1", "__sw_k2", "text").dropDuplicates(["__sw_k1", "__sw_k2"])
-    last = F.ceil(F.length("text") / chunk).cast("int") - 1
+    last = F.ceil(F.length("text") / reach).cast("int") - 1
     rows = texts.select("*", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("nr"))
-    start = F.greatest(F.col("nr") - 1, F.lit(0)) * chunk
-    rows = rows.select("__sw_k1", "__sw_k2", "nr", "last", F.substring("text", start + 1, (F.col("nr") + 1) * chunk + overlap - start).alias("text"))
+    lead = F.when(F.col("nr") > 0, chunk).otherwise(0)
+    upto = F.when(F.col("nr") < F.col("last"), reach + overlap).otherwise(reach)
+    rows = rows.select("__sw_k1", "__sw_k2", "nr", "last", F.substring("text", F.col("nr") * reach - lead + 1, lead + upto).alias("text"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(width, "__sw_k1", "__sw_k2", "nr")
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(ranks_file, pattern), {}
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(ranks_file, pattern)
         for batch in text_slices(batches):
-            out = []
-            for nr, end, text in zip(*(batch.column(c).to_pylist() for c in ("nr", "last", "text")), strict=True):
-                found = owned_pieces(text, chunk if nr else 0, nr == end, pattern, chunk, overlap)
-                if found is None:
-                    out.append(None)
-                    continue
-                if len(known) > CACHED_PIECES:
-                    known.clear()
-                for p in found:
-                    if p not in known:
-                        known[p] = enc._encode_single_piece(p)
-                out.append([i for p in found for i in known[p]])
-            yield pa.RecordBatch.from_arrays([batch.column("__sw_k1"), batch.column("__sw_k2"), batch.column("nr"), pa.array(out, pa.list_(pa.int32()))], ["__sw_k1", "__sw_k2", "nr", "ids"])
-
-    done = arrow_map(rows, pieces, "__sw_k1 long, __sw_k2 long, nr int, ids array<int>")
-    met = done.groupBy("__sw_k1", "__sw_k2").agg(F.sort_array(F.collect_list(F.struct("nr", "ids"))).alias("parts"))
-    ids = F.when(F.exists("parts", lambda p: p["ids"].isNull()), F.lit(None)).otherwise(F.flatten(F.transform("parts", lambda p: p["ids"])))
-    met = materialise(met.select("__sw_k1", "__sw_k2", ids.alias("ids")), "stitched")
-    stitched = long.join(met, ["__sw_k1", "__sw_k2"])
+            if len(pieces) > CACHED_PIECES:
+                pieces.clear()
+            found = [span_ids(t, chunk if nr else 0, nr == end, pieces, pattern, chunk, overlap) for nr, end, t in zip(*(batch.column(c).to_pylist() for c in ("nr", "last", "text")), strict=True)]
+            first, stop, ids = ([None if x is None else x[i] for x in found] for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("__sw_k1"), batch.column("__sw_k2"), batch.column("nr"), pa.array(first, pa.int64()), pa.array(stop, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["__sw_k1", "__sw_k2", "nr", "first", "stop", "ids"])
+
+    done = arrow_map(rows, spans, "__sw_k1 long, __sw_k2 long, nr int, first long, stop long, ids array<int>")
+    met = done.groupBy("__sw_k1", "__sw_k2").agg(F.sort_array(F.collect_list(F.struct("nr", "first", "stop", "ids"))).alias("parts"))
+    # each span must begin where the one before it ends
+    pairs = F.zip_with(F.slice("parts", 1, F.size("parts") - 1), F.slice("parts", 2, F.size("parts")), lambda a, b: F.coalesce(a["stop"] == b["first"] + reach, F.lit(False)))
+    whole_parts = ~F.exists("parts", lambda p: p["ids"].isNull()) & F.forall(pairs, lambda x: x)
+    met = materialise(met.select("__sw_k1", "__sw_k2", F.when(whole_parts, F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids")), "stitched")
+    stitched = salted_join(long.withColumn("__sw_mix", F.monotonically_increasing_id()), met, ["__sw_k1", "__sw_k2"], "__sw_mix")
     apart = stitched.where(F.col("ids").isNull()).select(*docs.columns)
     joined = stitched.where(F.col("ids").isNotNull()).select(*others, "ids")
     if not back:
@@ -152,9 +207,9 @@ def decode(rows: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     return arrow_map(base, lambda batches: decoded(batches, ranks_file, pattern), with_bytes(base.schema))
 
 
-def round_trip(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """decode(encode(docs)), the two in one Python worker where a document is encoded whole."""
-    return encode(docs.drop("bytes"), ranks_file, pattern, chunk, overlap, back=True)
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, span: int = SPAN) -> DataFrame:
+    """decode(encode(docs)), the two in one Python worker where a text is one span."""
+    return encode(docs.drop("bytes"), ranks_file, pattern, chunk, overlap, span, back=True)
 
 
 def public_files() -> tuple[str, str]:

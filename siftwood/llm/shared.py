@@ -7,47 +7,28 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwood.scratch import fresh_path, materialise  # noqa: F401  the operators take them from here
+
 #: The white space that separates words: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
 #: Bytes of one batch that Spark hands to Python.
 ARROW_BYTES = 8 << 20
+#: Parts that the rows of one key are dealt to in a salted join.
+SALTS = 8
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="siftwood-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/siftwood/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and later joins see its true size."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold that models never learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -58,6 +39,17 @@ def content_key(*parts: Column) -> list[Column]:
     return [F.xxhash64(*parts).alias("__sw_k1"), F.xxhash64(F.lit(7), *parts).alias("__sw_k2")]
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str | list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """rows joined with facts (one row per key), where a key may hold most of the rows: facts are repeated per salt.
+
+    by: the column of rows that spreads them. Sorted, so that many small joins build no tables on the driver.
+    """
+    keys = [key] if isinstance(key, str) else key
+    many = facts.withColumn("__sw_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = rows.withColumn("__sw_salt", F.pmod(F.xxhash64(F.col(by), F.lit("salt")), F.lit(salts)).cast("int"))
+    return own.join(many.hint("merge"), [*keys, "__sw_salt"], how).drop("__sw_salt")
+
+
 def give_back() -> None:
     """Returns a task's freed memory to the system: Python workers outlive their tasks and add up with others' on an executor."""
     gc.collect()

@@ -477,35 +477,68 @@ def test_quality_of_odd_rows(spark, odd, docs):
 # --- 10 --------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("chunk,overlap", [(200, 50), (32_768, 1024)])
-def test_encoding_equals_the_library(odd, docs, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,span", [(bpe.CHUNK, bpe.OVERLAP, bpe.SPAN), (200, 50, 3), (64, 20, 1)])
+def test_encoding_equals_the_library(odd, docs, chunk, overlap, span):
     ranks, pattern = bpe.public_files()
     enc = bpe.encoder(ranks, pattern)
     for df in (odd.select("doc_id", "text", "packed"), docs.select("doc_id", "text").limit(60)):
         want = Counter((r.doc_id, tuple(enc.encode_ordinary(r.text or ""))) for r in df.collect())
-        coded = bpe.encode(df, ranks, pattern, chunk, overlap)
+        coded = bpe.encode(df, ranks, pattern, chunk, overlap, span)
         assert Counter((r.doc_id, tuple(r.ids)) for r in coded.collect()) == want
         back = Counter((r.doc_id, bytes(r.bytes).decode()) for r in bpe.decode(coded, ranks, pattern).collect())
         assert back == Counter((r.doc_id, r.text or "") for r in df.collect())
-        both = bpe.digests(bpe.round_trip(df, ranks, pattern, chunk, overlap)).collect()
+        both = bpe.digests(bpe.round_trip(df, ranks, pattern, chunk, overlap, span)).collect()
         assert Counter((r.doc_id, r.ids_sha256) for r in both) == Counter((d, hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest()) for d, i in want.elements())
     assert bpe.encode(empty(odd), ranks, pattern).count() == 0
 
 
-@pytest.mark.parametrize("text", ["don't  stop\n\n now 12345 " * 90, "   \n\t " * 300 + "x", "é中文 'll " * 300, "a" * 3000 + " b" * 500])
-def test_chunks_meet_on_true_boundaries(text):
+def apart(text):
+    """Ids by splitting the whole text at once and merging each pre-token by itself."""
+    ranks, pattern = bpe.public_files()
+    merge = bpe.encoder(ranks, pattern)._encode_single_piece
+    return [i for piece in bpe.splitter(pattern).findall(text) for i in merge(piece)]
+
+
+def test_long_runs_are_encoded(spark):
+    ranks, pattern = bpe.public_files()
+    texts = ["a" + " " * 1_200_000 + "x", "z" * 300_000, "é中文 'll " * 20_000, " \n" * 90_000 + "end", "word " * 30_000 + " " * 70_000 + "\n\nx" + "7" * 70_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(rows, ranks, pattern).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == apart(text)
+
+
+CHUNKED = ["don't  stop\n\n now 12345 " * 90, "   \n\t " * 300 + "x", "é中文 'll " * 300, "a" * 3000 + " b" * 500, "", "x", "\n" * 999, "we'll   go\r\n" * 70 + " " * 400]
+
+
+@pytest.mark.parametrize("text", CHUNKED)
+@pytest.mark.parametrize("chunk,overlap", [(250, 60), (10, 9), (33, 12)])
+def test_chunks_meet_on_true_boundaries(text, chunk, overlap):
     _, pattern = bpe.public_files()
-    chunk, overlap = 250, 60
-    last, out = -(-len(text) // chunk) - 1, []
-    for nr in range(last + 1):
-        start = max(nr - 1, 0) * chunk
-        own = bpe.owned_pieces(text[start : (nr + 1) * chunk + overlap], chunk if nr else 0, nr == last, pattern, chunk, overlap)
-        if own is None:
-            return  # no meeting point: such a document is encoded in one piece
-        out += own
+    out, place = [], 0
+    for at, run in bpe.runs(text, pattern, chunk, overlap):
+        assert at == place
+        out += run
+        place += sum(map(len, run))
     assert out == bpe.splitter(pattern).findall(text)
 
 
+@pytest.mark.parametrize("text", CHUNKED)
+def test_spans_follow_each_other_or_are_refused(text):
+    ranks, pattern = bpe.public_files()
+    pieces, chunk, overlap = bpe.Pieces(ranks, pattern), 40, 16
+    reach = 3 * chunk
+    last, out, ends = max(0, -(-len(text) // reach) - 1), [], 0
+    for nr in range(last + 1):
+        lead = chunk if nr else 0
+        found = bpe.span_ids(text[nr * reach - lead : len(text) if nr == last else (nr + 1) * reach + overlap], lead, nr == last, pieces, pattern, chunk, overlap)
+        if found is None or nr and found[0] + reach != ends:
+            return  # such a text is put together for one task
+        ends = found[1]
+        out += found[2]
+    assert out == apart(text)
+
+
 # --- pipeline --------------------------------------------------------------------------------------
 
 
@@ -539,7 +572,7 @@ def test_pipeline_survives_odd_rows(spark, odd):
     rows = odd
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, SF).cache()
-    assert {7, 10} <= {r.doc_id for r in rows.collect()} or rows.count() >= 1
+    assert {r.doc_id for r in rows.collect()} == {None, 1, 3, 7, 10} and all(r.n_tokens == len(r.ids) for r in rows.collect())
     rows = empty(odd)
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, SF)
