@@ -1,12 +1,13 @@
 """Near duplicates by a chosen-path set similarity join.
 
-Documents are sets of five-word shingles. Equal sets are joined first and go on as one. Several
-independent trees then branch the sets: a node chooses a few minwise coordinates by its level and tree,
-and each sends a set to the child named by its minimum there, so similar sets tend to stay together.
-Small nodes are compared exhaustively on full sets. A large node of sets alike
-does not fall apart: its sets are compared with some pivots, and those outside the component that results
-with every set of the node, block by block. Comparisons hand on a spanning forest of the links they
-confirm, never all pairs, and nodes that are connected already are not compared again.
+Documents are sets of five-word shingles. Equal sets go on as one. Several independent trees then branch the
+sets: a node chooses a few minwise coordinates by its level and tree, and each sends a set to the child named
+by its minimum there, so similar sets tend to stay together. Nodes whose sets are connected already, or that
+have the same members as another, end at once. Small nodes are compared exhaustively on full sets. A large
+node of sets alike does not fall apart: its sets are compared with some pivots first, and those outside the
+component that results with every set of the node, block by block. The first tree goes ahead of the others,
+which find most nodes connected and only look for what it has missed. Comparisons hand on a star for each
+group that they connect, never all pairs.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.llm.components import connected_components
-from siftwood.llm.shared import arrow_map, materialise, shingle_sets, text_slices
+from siftwood.llm.shared import arrow_map, materialise, salted_join, shingle_sets, text_slices
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,8 @@ class Join:
     """percent: least Jaccard similarity of a link, times 100.
 
     A pair at similarity s stays together on a level with probability 1 - (1 - s) ** branches, so at 0.85
-    four trees of three levels with two branches miss about one pair in a million.
+    four trees of three levels with two branches miss about one pair in a million. node: sets that are
+    compared at once; block and weight: sets and shingles of one part of a large node.
     """
 
     percent: int = 85
@@ -38,14 +40,17 @@ class Join:
     levels: int = 3
     node: int = 64
     block: int = 512
+    weight: int = 1_000_000
 
     @property
     def coordinates(self) -> int:
         return self.trees * self.branches * self.levels
 
 
+#: Sets that a large node's sets are held against first, and parts that the copies of one set are dealt to.
+PIVOTS = 8
+COPY_SALTS = 16
 SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, minima array<int>"
-MEMBERS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("side", pa.int32()), ("shingles", pa.binary())])
 
 
 def signatures(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -72,58 +77,102 @@ def signatures(docs: DataFrame, how: Join = Join()) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sign, SIGNATURES)
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """Nodes of two sets or more: n, and sums that agree for nodes with the same members."""
-    sums = [F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))).alias("y"), F.min("doc_id").alias("z")]
-    return rows.groupBy("node").agg(F.count("*").alias("n"), F.min("tree").alias("tree"), *sums).where("n > 1")
+def stored_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, shingles (sorted 64-bit hashes as bytes) of the wanted documents."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, limit=1 << 20):
+            data = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    return arrow_map(texts, cut, "doc_id long, shingles binary")
+
+
+def children(rows: DataFrame, level: int, how: Join) -> DataFrame:
+    """The rows (tree, node, ...) of each node's children: node is the child, parent the node. Needs minima."""
+    first = (F.col("tree") * how.levels + level) * how.branches
+    kids = F.transform(F.sequence(F.lit(0), F.lit(how.branches - 1)), lambda i: F.xxhash64(F.col("node"), first + i, F.get("minima", first + i)))
+    return rows.select(*(c for c in rows.columns if c not in ("node", "parent", "n", "weight")), F.col("node").alias("parent"), F.explode(kids).alias("node"))
+
 
+def open_nodes(rows: DataFrame) -> DataFrame:
+    """rows (tree, node, doc_id, size, c, ...) of nodes that hold two components or more, with n and weight.
 
-def pivots(members: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """node, pivots, alike: up to eight members picked by a hash, and the largest share of places in which one agrees with the members on average."""
-    lowest = members.groupBy("node").agg(*(F.min(F.when(F.pmod(F.xxhash64("doc_id", "node"), F.lit(8)) == i, F.struct(F.xxhash64("doc_id"), "doc_id"))).alias(f"p{i}") for i in range(8)))
-    tried = lowest.select("node", F.explode(F.array_compact(F.array(*(F.col(f"p{i}.doc_id") for i in range(8))))).alias("pivot"))
-    tried = tried.join(sets.select(F.col("doc_id").alias("pivot"), F.col("minima").alias("own")), "pivot").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pivot", "own"))).alias("tried"))
-    # one row per member whatever the number of pivots
-    agree = lambda t: F.size(F.filter(F.zip_with("minima", t["own"], lambda a, b: a == b), lambda x: x)) / how.coordinates
-    shares = members.join(sets, "doc_id").join(tried, "node").select("node", F.transform("tried", agree).alias("shares"))
-    votes = shares.groupBy("node").agg(F.greatest(*(F.avg(F.get("shares", F.lit(i))) for i in range(8))).alias("alike"))
-    return tried.select("node", F.transform("tried", lambda t: t["pivot"]).alias("pivots")).join(votes, "node")
+    Of nodes with the same members one stays, of the lowest tree.
+    """
+    sums = [F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))).alias("y"), F.min("doc_id").alias("z")]
+    found = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("tree").alias("t"), F.min("c").alias("low"), F.max("c").alias("high"), *sums).where("low < high")
+    once = found.groupBy("n", "weight", "x", "y", "z").agg(F.min_by("node", F.struct("t", "node")).alias("node"))
+    return salted_join(rows, once.select("node", "n", "weight"), "node", "doc_id")
 
 
-def branch(sets: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
-    """(tree, node, doc_id) rows of the small nodes, and with n and pivots of the large ones to compare.
+def settle(rows: DataFrame, sets: DataFrame, how: Join) -> tuple[DataFrame, DataFrame | None]:
+    """(node, doc_id) of the small nodes, and (tree, node, doc_id, n, weight) of the large ones that stay so; None without any.
 
-    sets: doc_id and minima, one row per distinct set. Nodes of one set end here, and of nodes with the same
-    members one stays. A large node ends on the last level, where it fits one block, or where branching would
-    not halve the work: sets that agree in a share s of places leave s of the node in each child, so comparing all children costs
-    branches * s * s of comparing the node.
+    rows: open nodes of the first level. A large node branches on while that halves the work at least: sets that agree
+    in a share s of coordinates leave s of the node in each child.
     """
-    rows = sets.select(F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"), "doc_id", "minima")
-    small, large = [], []
-    for level in range(how.levels):
-        first = (F.col("tree") * how.levels + level) * how.branches
-        kids = F.transform(F.sequence(F.lit(0), F.lit(how.branches - 1)), lambda i: F.xxhash64(F.col("node"), first + i, F.get("minima", first + i)))
-        kept = rows.select("tree", "doc_id", F.explode(kids).alias("node"))
-        once = _nodes(kept).groupBy("n", "x", "y", "z").agg(F.min_by("node", F.struct("tree", "node")).alias("node"))
-        found = materialise(kept.join(once.select("node", "n"), "node"), f"level{level}")
-        small.append(found.where(F.col("n") <= how.node).select("tree", "node", "doc_id"))
-        wide = found.where(F.col("n") > how.node)
-        if wide.isEmpty():
-            break
-        voted = pivots(wide.select("node", "doc_id"), sets, how)
-        wide = materialise(wide.join(voted, "node"), f"wide{level}")
-        ends = F.lit(level == how.levels - 1) | (F.col("n") <= how.block) | (2 * how.branches * F.col("alike") * F.col("alike") >= 1)
-        large.append(wide.where(ends).select("tree", "node", "doc_id", "n", "pivots"))
-        if level == how.levels - 1 or wide.where(~ends).isEmpty():
-            break
-        rows = wide.where(~ends).join(sets, "doc_id").select("node", "tree", "doc_id", "minima")
-    union = lambda parts: None if not parts else parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    none = sets.sparkSession.createDataFrame([], "tree int, node long, doc_id long, n long, pivots array<long>")
-    return union(small), union(large) or none
+    big = (F.col("n") > how.node) | (F.col("weight") > how.weight)
+    small, ends = rows.where(~big).select("node", "doc_id"), None
+    wide = rows.where(big)
+    if wide.isEmpty():
+        return small, None
+    wide = materialise(wide.join(sets.select("doc_id", "minima").hint("merge"), "doc_id"), "wide")
+    for level in range(1, how.levels):
+        kids = children(wide, level, how)
+        work = kids.groupBy("parent", "node").agg(F.count("*").alias("k")).groupBy("parent").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
+        sizes = wide.groupBy("node").agg(F.first("n").alias("n")).withColumnRenamed("node", "parent")
+        parting = materialise(work.join(sizes.hint("merge"), "parent").where("2 * work < n * n").select("parent"), "parting")
+        stay = salted_join(wide, parting.withColumnRenamed("parent", "node"), "node", "doc_id", "left_anti").select("tree", "node", "doc_id", "size", "c", "n", "weight")
+        ends = stay if ends is None else ends.unionByName(stay)
+        if parting.isEmpty():
+            return small, ends
+        found = materialise(open_nodes(salted_join(kids, parting, "parent", "doc_id", "left_semi")), f"level{level}")
+        small = small.unionByName(found.where(~big).select("node", "doc_id"))
+        wide = found.where(big)
+    wide = wide.select("tree", "node", "doc_id", "size", "c", "n", "weight")
+    return small, wide if ends is None else ends.unionByName(wide)
+
+
+def parts_of(n: Column, weight: Column, how: Join) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / how.block), F.ceil(weight / how.weight)).cast("int")
+
+
+def dealt(large: DataFrame, how: Join) -> DataFrame:
+    """Rows of large nodes with the number of blocks of their node and their own block."""
+    blocks = parts_of(F.col("n"), F.col("weight"), how)
+    return large.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id", "node"), blocks).cast("int")})
+
+
+def stars(large: DataFrame, how: Join) -> DataFrame:
+    """Members (node, doc_id, side) of seats that hold a block of a large node and the node's pivots, picked by a hash."""
+    slot = F.pmod(F.xxhash64("doc_id", "node"), F.lit(PIVOTS))
+    lowest = large.groupBy("node").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), *(F.min(F.when(slot == i, F.struct(F.xxhash64("doc_id"), "doc_id"))).alias(f"p{i}") for i in range(PIVOTS)))
+    blocks = F.sequence(F.lit(0), parts_of(F.col("n"), F.col("weight"), how) - 1)
+    picked = materialise(lowest.select("node", F.array_compact(F.array(*(F.col(f"p{i}.doc_id") for i in range(PIVOTS)))).alias("pivots"), blocks.alias("blocks")), "pivots")
+    seat = F.xxhash64(F.lit("star"), "node", "block").alias("node")
+    first = picked.select("node", "pivots", F.explode("blocks").alias("block")).select(seat, F.explode("pivots").alias("doc_id"), F.lit(1).alias("side"))
+    second = salted_join(dealt(large, how), picked.select("node", "pivots"), "node", "doc_id").where(~F.array_contains("pivots", F.col("doc_id")))
+    return first.unionByName(second.select(seat, "doc_id", F.lit(2).alias("side")))
+
+
+def rest(large: DataFrame, how: Join) -> DataFrame:
+    """Members (node, doc_id, side) of seats where every set outside its large node's main component meets every set of the node."""
+    main = large.groupBy("node", "c").agg(F.count("*").alias("k"), F.sum("size").alias("w")).groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("every"), (F.sum("w") - F.max_by("w", F.struct("k", "c"))).alias("over")).where("k < every")
+    choice = materialise(main.select("node", "main", parts_of(F.col("every") - F.col("k"), F.col("over"), how).alias("groups")), "choice")
+    met = salted_join(dealt(large, how), choice, "node", "doc_id")
+    met = met.withColumn("group", F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int")))
+    seat = F.xxhash64(F.lit("rest"), "node", "group", "block").alias("node")
+    one = met.where(F.col("group").isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # in the seat of its own group and block a set stands on the first side
+    others = F.filter(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: ~g.eqNullSafe(F.col("group")))
+    other = met.withColumn("group", F.explode(others))
+    return one.select(seat, "doc_id", F.lit(1).alias("side")).unionByName(other.select(seat, "doc_id", F.lit(2).alias("side")))
 
 
 def compare(sets: list[np.ndarray], ids: list[int], sides: list[int], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets of one node. side 0: with all; 1 and 2: with the other side only, 1 also with itself."""
+    """A star for each group of sets that links of one node connect, from its smallest id. side 0: with all; 1 and 2: with the other side only, 1 also with itself."""
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -151,93 +200,75 @@ def compare(sets: list[np.ndarray], ids: list[int], sides: list[int], percent: i
             grid = np.zeros((len(sets), min(4096, width - low)), np.float32)
             grid[row[inside], column[inside] - low] = 1
             shared += grid[rows] @ grid.T
-    out = []
     for i, both in zip(rows, shared, strict=True):
         for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes - both)).tolist():
             if j != i and (a := root(i)) != (b := root(j)):
                 parent[b] = a
-                out.append((ids[i], ids[j]))
-    return out
+    least: dict[int, int] = {}
+    for i, doc_id in enumerate(ids):
+        least[root(i)] = min(doc_id, least.get(root(i), doc_id))
+    return [(least[root(i)], doc_id) for i, doc_id in enumerate(ids) if doc_id != least[root(i)]]
 
 
-def confirm(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among each node's members, on the full sets of their texts.
+def confirm(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what links among each node's members connect, on full sets. members: node, doc_id, side.
 
-    members: node, doc_id, side. Texts travel once per document, sets once per node they are in.
+    sets: doc_id, shingles. No node has more sets and shingles than a block of each side.
     """
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct("node", "side")).alias("nodes"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=1 << 20):
-            out: list[tuple] = []
-            for doc_id, nodes, s in zip(batch.column("doc_id").to_pylist(), batch.column("nodes").to_pylist(), shingle_sets(batch.column("text")), strict=True):
-                data = s.tobytes()
-                out += [(x["node"], doc_id, x["side"], data) for x in nodes]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), MEMBERS.types, strict=True)], schema=MEMBERS)
-
-    rows = arrow_map(texts, spread, "node long, doc_id long, side int, shingles binary").repartition(width, "node").sortWithinPartitions("node")
+    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.join(sets.hint("merge"), "doc_id").select("node", "doc_id", "side", "shingles").repartition(width, "node").sortWithinPartitions("node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        node, ids, sides, sets = None, [], [], []
+        node, ids, sides, own = None, [], [], []
         for batch in batches:
             for n, doc_id, side, data in zip(*(batch.column(c).to_pylist() for c in ("node", "doc_id", "side", "shingles")), strict=True):
                 if n != node:
-                    if len(sets) > 1:
-                        found += compare(sets, ids, sides, percent)
-                    node, ids, sides, sets = n, [], [], []
-                ids.append(doc_id), sides.append(side), sets.append(np.frombuffer(data, np.uint64))
+                    if len(own) > 1:
+                        found += compare(own, ids, sides, percent)
+                    node, ids, sides, own = n, [], [], []
+                ids.append(doc_id), sides.append(side), own.append(np.frombuffer(data, np.uint64))
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
                 found = []
-        if len(sets) > 1:
-            found += compare(sets, ids, sides, percent)
+        if len(own) > 1:
+            found += compare(own, ids, sides, percent)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     return arrow_map(rows, link, "a long, b long")
 
 
+def with_components(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with c, the component of doc_id as far as it is known."""
+    return rows.drop("c").join(known.hint("merge"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+
+
 def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """Links (a, b) that connect all sets which links of the join connect.
+    """Links (a, b), a stored table, that connect all sets which links of the join connect.
 
-    The first tree's small nodes are compared, and the sets of its large ones with the node's pivots. What that connects
-    needs no further comparison: the other nodes are taken where they still hold several components.
+    sets: doc_id, n_shingles, minima of distinct sets.
     """
-    small, large = branch(sets, how)
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / how.block)).cast("int")
-    dealt = large.withColumns({"blocks": blocks(F.col("n")), "block": F.pmod(F.xxhash64("doc_id", "node"), blocks(F.col("n"))).cast("int")})
-    base = dealt.where("tree = 0").where(~F.array_contains("pivots", F.col("doc_id"))).select("node", "block", "doc_id", "pivots")
-    seat = F.xxhash64(F.lit("block"), "node", "block").alias("node")
-    seats = base.select("node", "block", "pivots").distinct()
-    stars = base.select(seat, "doc_id", F.lit(2).alias("side")).unionByName(seats.select(seat, F.explode("pivots").alias("doc_id"), F.lit(1).alias("side")))
-    early = small.where("tree = 0").select("node", "doc_id", F.lit(0).alias("side")).unionByName(stars)
-    first = materialise(confirm(docs, early, how.percent), "links")
-
-    known = connected_components(first, rounds=2).withColumnsRenamed({"vertex": "doc_id", "component": "c"})
-    part = F.coalesce("c", "doc_id").alias("c")
-    late = small.where("tree > 0").join(known, "doc_id", "left").select("node", "doc_id", part)
-    mixed = late.groupBy("node").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("node")
-    late = late.join(mixed, "node").select("node", "doc_id", F.lit(0).alias("side"))
-    # large nodes: every set meets every set of the node, block by block, but for those of its largest component among themselves
-    cut = materialise(dealt.join(known, "doc_id", "left").select("tree", "node", "doc_id", "blocks", "block", part), "large")
-    main = cut.groupBy("node", "c").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("n")).where("k < n")
-    # the first tree's nodes compare all; another node may leave out the pairs that one of these has compared
-    base = cut.where("tree = 0").select(F.col("node").alias("base"), "doc_id")
-    shared = cut.where("tree > 0").select("node", "doc_id").join(base, "doc_id").groupBy("node", "base").agg(F.count("*").alias("j")).groupBy("node").agg(F.max_by("base", F.struct("j", "base")).alias("base"), F.max("j").alias("j"))
-    choice = main.join(shared, "node", "left").withColumn("by_base", F.coalesce(F.col("j") > F.col("k"), F.lit(False)))
-    choice = choice.withColumn("out", F.col("n") - F.when(F.col("by_base"), F.col("j")).otherwise(F.col("k"))).where("out > 0")
-    choice = materialise(choice.select("node", "main", "base", "by_base", blocks(F.col("out")).alias("groups")), "choice")
-    met = cut.join(choice, "node").join(base.withColumn("known", F.lit(True)), ["base", "doc_id"], "left")
-    met = met.withColumn("covered", F.when(F.col("by_base"), F.coalesce("known", F.lit(False))).otherwise(F.col("c") == F.col("main")))
-    one = met.where(~F.col("covered")).withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int"))
-    meet = F.xxhash64(F.lit("rest"), "node", "group", "block").alias("node")
-    one = one.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(meet, "doc_id", F.lit(1).alias("side"))
-    other = met.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(meet, "doc_id", F.lit(2).alias("side"))
-    rest = one.unionByName(other).groupBy("node", "doc_id").agg(F.min("side").alias("side"))
-    return first.unionByName(confirm(docs, late.unionByName(rest), how.percent))
+    paths = F.flatten(F.array(*(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(k), F.get("minima", k)).alias("node")) for k in range(t * how.levels * how.branches, (t * how.levels + 1) * how.branches))) for t in range(how.trees))))
+    rows = sets.select("doc_id", F.col("n_shingles").alias("size"), F.col("doc_id").alias("c"), F.explode(paths).alias("p")).select("p.tree", "p.node", "doc_id", "size", "c")
+    level = materialise(open_nodes(rows), "level0")
+    pool = materialise(stored_sets(docs, materialise(level.select("doc_id").distinct(), "involved")), "pool")
+    both = lambda nodes: nodes.withColumn("side", F.lit(0))
+
+    def found(members: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """All links so far, and the components they make as far as two rounds tell."""
+        new = confirm(pool, members, how.percent)
+        kept = materialise(new if before is None else new.unionByName(before.select(F.col("c").alias("a"), F.col("doc_id").alias("b")).where("a <> b")), "links")
+        return kept, materialise(connected_components(kept, rounds=2).withColumnsRenamed({"vertex": "doc_id", "component": "c"}), "known")
+
+    small, large = settle(level.where("tree = 0"), sets, how)
+    kept, known = found(both(small) if large is None else both(small).unionByName(stars(large, how)), None)
+    if large is not None:
+        kept, known = found(rest(materialise(with_components(large, known), "large"), how), known)
+    level = materialise(open_nodes(with_components(level.where("tree > 0"), known).drop("n", "weight")), "late")
+    small, large = settle(level, sets, how)
+    late = both(small) if large is None else both(small).unionByName(rest(materialise(large, "large"), how))
+    return materialise(confirm(pool, late, how.percent).unionByName(known.select(F.col("c").alias("a"), F.col("doc_id").alias("b")).where("a <> b")), "links")
 
 
 def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -246,16 +277,22 @@ def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
     Rows of one doc_id are one vertex. Texts without a word have an empty set, link with nothing and are kept.
     Rows without a doc_id cannot be named: they link with nothing, have a null component_id and are kept.
     """
-    signed = materialise(signatures(docs, how), "sets")
+    signed = materialise(signatures(docs, how), "signed")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    same = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    heads = materialise(named.join(same, ["h1", "h2"]).select("doc_id", "first", "minima"), "heads")
-    sets = heads.where("doc_id = first").select("doc_id", "minima")
-    copies = heads.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    found = links(docs, sets, how).unionByName(copies)
-    parts = connected_components(found)
-    joined = signed.join(parts, signed["doc_id"] == parts["vertex"], "left")
-    component = F.coalesce("component", "doc_id")
+    sets = materialise(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima")), "sets")
+    # a doc_id whose rows differ connects their sets
+    unlike = named.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low <> high").select("doc_id")
+    several = named.select("doc_id", "h1", "h2").join(unlike.hint("merge"), "doc_id").distinct()
+    own = several.withColumnRenamed("doc_id", "b").join(sets.select("h1", "h2", F.col("doc_id").alias("a")).hint("merge"), ["h1", "h2"]).select("a", "b").where("a <> b")
+    edges = materialise(links(docs, sets, how).unionByName(own), "edges")
+    parts = connected_components(edges).withColumnsRenamed({"vertex": "doc_id"})
+    # equal sets join after their components are known; a set with many copies is dealt out by salts
+    named_sets = sets.select("h1", "h2", "doc_id", "copies").join(parts.hint("merge"), "doc_id", "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component"), "copies", F.col("doc_id").alias("first"))
+    salt = lambda c: F.pmod(F.xxhash64(c, F.lit("copy")), F.lit(COPY_SALTS)).cast("int")
+    salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).otherwise(F.array(salt("first")))
+    facts = named_sets.select("h1", "h2", "component", F.explode(salts).alias("salt"))
+    joined = signed.drop("minima").withColumn("salt", salt("doc_id")).join(facts.hint("merge"), ["h1", "h2", "salt"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
