@@ -4,23 +4,24 @@ A window of a document is as long, in words, as a benchmark item. Similarity tak
 so windows are laid at every position where they hold enough shingles that items of their length have,
 wherever in the item these stand: a window with fewer cannot reach the least similarity, which its
 shared shingles over the item's own bound. Windows and items get 64-bit SimHash
-fingerprints of their shingles, weighted by how often each occurs. Fingerprints are cut into radius + 1
-blocks, so two of them within the radius agree on a block at least: an equi-join on length, block number
-and block value finds all such pairs. Pairs within the radius are then held to the exact weighted
-Jaccard similarity of their shingles.
+fingerprints of their shingles, weighted by how often each occurs. Fingerprints are cut into a few wide
+blocks; if every block of two were further apart than its share of the radius, together they would be
+beyond it. So items are entered under every value within that share of each of their blocks, and an
+equi-join on length, block number and block value finds all pairs within the radius. These are then held
+to the exact weighted Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm.shared import SHINGLE, content_key, materialise
+from siftwood.llm.shared import SHINGLE, content_key, materialise, salted_join
 
-SALTS = 16
 #: Places of item shingles (at most 32 bytes each in memory) up to which the index of items is broadcast.
 BROADCAST_PLACES = 500_000
 
@@ -31,6 +32,7 @@ class Match:
 
     similarity: float = 0.8
     radius: int = 19
+    blocks: int = 5
 
 
 def words_of(text: Column) -> Column:
@@ -66,11 +68,31 @@ def simhash(shingles: Column) -> Column:
     return F.get(F.transform(F.array(totals), assemble), 0)
 
 
-def blocks_of(fingerprint: Column, radius: int) -> Column:
-    """(block number, value) for radius + 1 blocks that cover the 64 bits."""
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("nr"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << b - a) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+def widths_of(how: Match) -> list[tuple[int, int, int]]:
+    """First bit, number of bits, and the distance to look for, of each block: if all were beyond theirs, the sum would be beyond the radius."""
+    cuts = [64 * i // how.blocks for i in range(how.blocks + 1)]
+    share = how.radius - how.blocks + 1
+    return [(a, b - a, (share * (i + 1)) // how.blocks - (share * i) // how.blocks) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _value(fingerprint: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, first).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def blocks_of(fingerprint: Column, how: Match) -> Column:
+    """(block number, value) of each block; together they cover the 64 bits."""
+    return F.array(*(F.struct(F.lit(i).alias("nr"), _value(fingerprint, a, n).alias("value")) for i, (a, n, _) in enumerate(widths_of(how))))
+
+
+def probes_of(fingerprint: Column, how: Match) -> Column:
+    """(block number, value) for every value within each block's share of the radius."""
+
+    def near(nr: int, first: int, bits: int, far: int) -> Column:
+        flips = [sum(1 << bit for bit in chosen) for k in range(far + 1) for chosen in combinations(range(bits), k)]
+        own = _value(fingerprint, first, bits)
+        return F.transform(F.from_json(F.lit(str(flips)), "array<bigint>"), lambda x: F.struct(F.lit(nr).alias("nr"), own.bitwiseXOR(x).alias("value")))
+
+    return F.concat(*(near(i, *width) for i, width in enumerate(widths_of(how))))
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -81,10 +103,12 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, how: Match) -> DataFrame:
-    """item_id, n (words), k (words per shingle), shingles, fingerprint. Items without words are left out."""
+    """item_id, n (words), k (words per shingle), shingles, and i1, i2 that name their content. Items without words are left out."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
     few = reduce(lambda acc, k: F.when(F.col("n") == k, shingles_of(F.col("words"), k)).otherwise(acc), range(1, SHINGLE), shingles_of(F.col("words")))
-    return words.select("item_id", "n", F.least("n", F.lit(SHINGLE)).alias("k"), few.alias("shingles"))
+    cut = words.select("item_id", "n", F.least("n", F.lit(SHINGLE)).alias("k"), few.alias("shingles"))
+    i1, i2 = content_key(F.col("shingles"))
+    return cut.select("*", i1.alias("i1"), i2.alias("i2"))
 
 
 def starts_of(at: Column, n: Column, how: Match) -> Column:
@@ -125,8 +149,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFr
     laid = laid.select("__sw_k1", "__sw_k2", "n", starts_of(F.col("at"), F.col("n"), how).alias("starts")).where(F.size("starts") > 0)
     places = materialise(laid.groupBy("__sw_k1", "__sw_k2").agg(F.collect_list(F.struct("n", "starts")).alias("places")), "places")
 
-    # each text once: its shingles are made once for all windows of a size, cut to the text where they reach over an end
-    once = texts.join(places, ["__sw_k1", "__sw_k2"]).dropDuplicates(["__sw_k1", "__sw_k2"])
+    # each text once: its shingles are made once for all windows of a size, cut to the text where they reach over an end.
+    # texts without a place go by their keys alone; places compress so well that their stored size says little
+    held = texts.join(places.select("__sw_k1", "__sw_k2"), ["__sw_k1", "__sw_k2"], "left_semi").dropDuplicates(["__sw_k1", "__sw_k2"])
+    once = held.join(places.hint("merge"), ["__sw_k1", "__sw_k2"])
     sized = once.select("__sw_k1", "__sw_k2", F.explode("places").alias("p"), "words").select("__sw_k1", "__sw_k2", F.col("p.n").alias("n"), F.col("p.starts").alias("starts"), "words")
     whole = sized.withColumn("all", reduce(lambda acc, k: F.when(F.col("n") == k, shingles_of(F.col("words"), k)).otherwise(acc), range(1, SHINGLE), shingles_of(F.col("words"))))
     windows = whole.select("__sw_k1", "__sw_k2", "n", F.explode("starts").alias("start"), "all")
@@ -138,41 +164,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFr
     windows = materialise(full, "windows")
     contents = windows.groupBy("n", "c1", "c2").agg(F.first("shingles").alias("shingles"))
     marked = materialise(contents.withColumn("print", simhash(F.col("shingles"))), "prints")
-    known = materialise(items.withColumn("print", simhash(F.col("shingles"))), "prints")
+    known = materialise(items.dropDuplicates(["n", "i1", "i2"]).withColumn("print", simhash(F.col("shingles"))), "prints")
+
+    pairs = within_radius(marked, known, how).hint("merge")
+    rated = pairs.join(marked.select("n", "c1", "c2", "shingles").hint("merge"), ["n", "c1", "c2"]).join(known.select("n", "i1", "i2", F.col("shingles").alias("wanted")).hint("merge"), ["n", "i1", "i2"])
+    rated = rated.select("n", "c1", "c2", "i1", "i2", F.round(weighted_jaccard(F.col("shingles"), F.col("wanted")), 6).alias("similarity")).where(F.col("similarity") >= how.similarity)
+    matches = materialise(rated.join(items.select("item_id", "n", "i1", "i2").hint("merge"), ["n", "i1", "i2"]).select("n", "c1", "c2", "item_id", "similarity"), "matches")
+    # one content may stand in a third of all texts: salted, and rows of one content and item are rare
+    return salted_join(windows.select("__sw_k1", "__sw_k2", "n", "c1", "c2"), matches, ["n", "c1", "c2"], "__sw_k1").groupBy("__sw_k1", "__sw_k2", "item_id").agg(F.max("similarity").alias("similarity"))
+
 
-    ours = marked.select("n", "c1", "c2", "print", F.explode(blocks_of(F.col("print"), how.radius)).alias("block"))
-    theirs = known.select("item_id", "n", F.col("print").alias("theirs"), F.explode(blocks_of(F.col("print"), how.radius)).alias("block"))
-    near = ours.join(theirs, ["n", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("theirs"))) <= how.radius)
-    pairs = near.select("n", "c1", "c2", "item_id").distinct()
-    held = pairs.join(marked.select("n", "c1", "c2", "shingles"), ["n", "c1", "c2"]).join(known.select("item_id", F.col("shingles").alias("wanted"), F.col("n").alias("m")), "item_id").where("n = m")
-    rated = held.select("n", "c1", "c2", "item_id", F.round(weighted_jaccard(F.col("shingles"), F.col("wanted")), 6).alias("similarity")).where(F.col("similarity") >= how.similarity)
-    matches = materialise(rated, "matches")
-    # one content may stand in a third of all texts: salted
-    spread = matches.withColumn("__sw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    places = windows.select("__sw_k1", "__sw_k2", "n", "c1", "c2", F.pmod("__sw_k1", F.lit(SALTS)).cast("int").alias("__sw_salt"))
-    return places.join(spread, ["n", "c1", "c2", "__sw_salt"]).groupBy("__sw_k1", "__sw_k2", "item_id").agg(F.max("similarity").alias("similarity"))
+def within_radius(marked: DataFrame, known: DataFrame, how: Match) -> DataFrame:
+    """n, c1, c2, i1, i2: all pairs of windows (n, c1, c2, print) and items (n, i1, i2, print) whose prints are within the radius."""
+    ours = marked.select("n", "c1", "c2", "print", F.explode(blocks_of(F.col("print"), how)).alias("block"))
+    theirs = known.select("n", "i1", "i2", F.col("print").alias("theirs"), F.explode(probes_of(F.col("print"), how)).alias("block"))
+    near = ours.join(theirs.hint("merge"), ["n", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("theirs"))) <= how.radius)
+    return near.select("n", "c1", "c2", "i1", "i2").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFrame:
     """doc_id, item_id, similarity of every document and benchmark item that match; equal rows each have theirs.
 
     Texts without words match nothing, nor do items without words. Repeated items with one item_id count
-    once. Rows with a null doc_id are listed under null.
+    once. Rows with a null doc_id are listed under null, items with a null item_id as one item without a name.
     """
     found = materialise(leaks(docs, benchmark, how), "leaks")
     k1, k2 = content_key(F.coalesce(F.col("text"), F.lit("")))
-    salted = found.withColumn("__sw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = docs.select("doc_id", k1, k2).withColumn("__sw_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return keyed.join(salted, ["__sw_k1", "__sw_k2", "__sw_salt"]).select("doc_id", "item_id", "similarity")
+    keyed = docs.select("doc_id", k1, k2).withColumn("__sw_mix", F.monotonically_increasing_id())
+    return salted_join(keyed, found, ["__sw_k1", "__sw_k2"], "__sw_mix").select("doc_id", "item_id", "similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) -> DataFrame:
     """The rows of docs whose text matches no item, with their columns; null texts stay."""
     found = materialise(leaks(docs, benchmark, how).select("__sw_k1", "__sw_k2").distinct(), "leaks")
     k1, k2 = content_key(F.coalesce(F.col("text"), F.lit("")))
-    salted = found.withColumn("__sw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = docs.withColumns({"__sw_k1": k1, "__sw_k2": k2, "__sw_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
-    return keyed.join(salted, ["__sw_k1", "__sw_k2", "__sw_salt"], "left_anti").select(*docs.columns)
+    # a broadcast where the keys' stored size allows
+    return docs.withColumns({"__sw_k1": k1, "__sw_k2": k2}).join(found, ["__sw_k1", "__sw_k2"], "left_anti").select(*docs.columns)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,8 +390,37 @@ def test_window_starts_equal_brute_force(spark, n):
 
 
 def test_fingerprint_blocks_cover_all_bits(spark):
-    row = spark.range(1).select(decontaminate.blocks_of(F.lit(-1).cast("long"), 19).alias("b")).first()
-    assert sum(int(b.value).bit_count() for b in row.b) == 64 and len(row.b) == 20
+    how = decontaminate.Match()
+    row = spark.range(1).select(decontaminate.blocks_of(F.lit(-1).cast("long"), how).alias("b")).first()
+    assert sum(int(b.value).bit_count() for b in row.b) == 64 and len(row.b) == how.blocks
+    assert sum(far + 1 for _, _, far in decontaminate.widths_of(how)) == how.radius + 1
+
+
+@pytest.mark.parametrize("how", [decontaminate.Match(), decontaminate.Match(radius=7, blocks=3)])
+def test_blocks_find_all_pairs_within_the_radius(spark, how):
+    rng = np.random.default_rng(how.radius)
+    items = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 30)]
+    flipped = lambda x, k: (x ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False))) & (1 << 64) - 1
+    prints = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 300)] + [flipped(x, k) - (1 << 64) * (flipped(x, k) < 0) for x in items for k in range(0, how.radius + 3, 2)]
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in prints]
+    ours = spark.createDataFrame([(40, i, 0, p) for i, p in enumerate(signed)], "n int, c1 long, c2 long, print long")
+    theirs = spark.createDataFrame([(40, i, 0, p) for i, p in enumerate(items)] + [(41, 99, 0, items[0])], "n int, i1 long, i2 long, print long")
+    got = {(r.c1, r.i1) for r in decontaminate.within_radius(ours, theirs, how).collect()}
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    assert got == {(i, j) for i, a in enumerate(signed) for j, b in enumerate(items) if apart(a, b) <= how.radius}
+    # unlike pairs seldom meet in a block
+    blocks = ours.where("c1 < 300").select("n", F.explode(decontaminate.blocks_of(F.col("print"), how)).alias("b"))
+    met = blocks.join(theirs.where("n = 40").select("n", F.explode(decontaminate.probes_of(F.col("print"), how)).alias("b")), ["n", "b"]).count()
+    assert met < 0.35 * 300 * len(items)
+
+
+def test_items_without_a_name_and_repeated_rows(spark):
+    text = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, "x " + text), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (7, text), (7, text), (8, None)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == Counter({(1, None): 2, (1, 7): 2, (None, None): 1, (None, 7): 1})
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]
 
 
 def test_simhash_equals_brute_force(spark):
