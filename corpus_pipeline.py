@@ -36,7 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; five words, similarity 0.8."""
     found = near_dedup.near_duplicates(docs, near_dedup.Join(percent=80, trees=5))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    # stored first: its size decides whether the texts have to be shuffled
+    gone = materialise(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
