@@ -45,12 +45,10 @@ class Limits:
 
 @lru_cache(maxsize=1)
 def char_table() -> np.ndarray:
-    """The class of every code point below 0x3000; those above are letters or other."""
-    kinds = {"Ll": 0, "Lu": 1, "Lt": 2, "Lm": 2, "Lo": 2, "Mn": 2, "Mc": 2, "Nd": 3, "Nl": 3, "No": 3, "Zs": 4}
-    table = np.full(0x110000, 2, np.uint8)
-    for c in range(0x3000):
-        x = chr(c)
-        table[c] = 4 if x in SPACE else 5 if x in STOPS else kinds.get(g := unicodedata.category(x), 6 if g[0] in "SP" else 7)
+    """The class of every code point."""
+    kinds = {"Ll": 0, "Lu": 1, "Lt": 2, "Lm": 2, "Lo": 2, "Mn": 2, "Mc": 2, "Nd": 3, "Nl": 3, "No": 3, "Zs": 4} | {g: 6 for g in ("Sm", "Sc", "Sk", "So", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po")}
+    table = np.fromiter((kinds.get(unicodedata.category(chr(c)), 7) for c in range(0x110000)), np.uint8, 0x110000)
+    table[[ord(x) for x in STOPS]], table[[ord(x) for x in SPACE]] = 5, 4
     return table
 
 
@@ -172,4 +170,51 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _op8_sql(limits: Limits = Limits()) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    # each class as RE2 has it, after those that come first
+    stops, spaces = r".,;:!?'\"\-()", r"\x20\x09-\x0D\p{Zs}"
+    plain = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "letter": r"\p{Lt}\p{Lm}\p{Lo}\p{Mn}\p{Mc}", "digit": r"\p{N}", "space": spaces, "stop": stops}
+    kept = lambda chars, not_in="": f"length(regexp_replace(t, {quoted(f'[^{chars}]' if not not_in else f'[^{chars}]|[{not_in}]')}, '', 'g'))"
+    counted = [kept(plain[c]) for c in CHAR_CLASSES[:6]] + [kept(r"\p{S}\p{P}", stops)]
+    rows = "\n  UNION ALL ".join(f"SELECT doc_id, lang, 'c' AS kind, {i} AS bin, CAST({x} AS BIGINT) AS k FROM d" for i, x in enumerate([*counted, f"length(t) - ({' + '.join(counted)})"]))
+    bins = ", ".join(f"({quoted(w)}, {i + 1})" for i, w in enumerate(dict.fromkeys(COMMON_WORDS)))
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+x AS MATERIALIZED (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS x FROM d),
+w AS MATERIALIZED (SELECT doc_id, lang, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM x),
+tri AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri WHERE g IS NOT NULL) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + s) AS n FROM again, (SELECT unnest([0, 1, 2]) AS s) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+base AS (SELECT x.doc_id, x.lang, CAST(len(x) AS BIGINT) AS n_words, CAST(length(array_to_string(x, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, length(t) AS n
+  FROM x LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+common AS (SELECT * FROM (VALUES {bins}) AS v(w, bin)),
+wb AS (SELECT doc_id, lang, coalesce(bin, 0) AS bin, count(*) AS k FROM (SELECT doc_id, lang, lower(trim(w, {quoted(STOPS)})) AS w FROM w) LEFT JOIN common USING (w) GROUP BY ALL),
+hist AS MATERIALIZED ({rows}
+  UNION ALL SELECT doc_id, lang, 'w' AS kind, bin, k FROM wb),
+totals AS (SELECT doc_id, kind, sum(k) AS total FROM hist GROUP BY ALL),
+refs AS MATERIALIZED (SELECT lang AS ref, kind, bin, sum(k) AS k, sum(sum(k)) OVER (PARTITION BY lang, kind) AS total FROM hist WHERE lang IS NOT NULL GROUP BY lang, kind, bin),
+pairs AS (SELECT t.doc_id, t.kind, r.ref, r.bin, coalesce(h.k, 0) / CAST(t.total AS DOUBLE) AS p, r.k / CAST(r.total AS DOUBLE) AS q
+  FROM totals t JOIN d USING (doc_id) JOIN refs r ON r.kind = t.kind AND r.total > 0 AND (d.lang IS NULL OR r.ref = d.lang)
+  LEFT JOIN hist h ON h.doc_id = t.doc_id AND h.kind = t.kind AND h.bin = r.bin WHERE t.total > 0),
+lone AS (SELECT h.doc_id, h.kind, r.ref, sum(h.k / CAST(t.total AS DOUBLE)) AS rest FROM hist h JOIN totals t USING (doc_id, kind) JOIN d USING (doc_id)
+  JOIN (SELECT DISTINCT ref, kind FROM refs WHERE total > 0) r ON r.kind = h.kind AND (d.lang IS NULL OR r.ref = d.lang)
+  WHERE t.total > 0 AND NOT EXISTS (SELECT 1 FROM refs x WHERE x.ref = r.ref AND x.kind = h.kind AND x.bin = h.bin) GROUP BY ALL),
+far AS (SELECT doc_id, kind, ref, sqrt(greatest(0, least(1, (sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)
+  + coalesce(any_value(lone.rest), 0)) / 2))) AS gap FROM pairs LEFT JOIN lone USING (doc_id, kind, ref) GROUP BY doc_id, kind, ref),
+near AS (SELECT doc_id, min(gap) FILTER (WHERE kind = 'c') AS c, min(gap) FILTER (WHERE kind = 'w') AS w FROM far GROUP BY doc_id),
+judged AS (SELECT b.*, coalesce(c, 0) AS c, coalesce(w, 0) AS w, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM base b LEFT JOIN near USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT ((n >= {limits.min_chars} AND c > {limits.char_distance}) OR (n_words >= {limits.min_words} AND w > {limits.word_distance})) AS kept,
+  round(c, 6) AS char_distance, round(w, 6) AS word_distance FROM judged
+"""
+
+
+OP8_SQL = _op8_sql()

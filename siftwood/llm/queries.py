@@ -4,10 +4,10 @@ from siftwood.llm.bpe import op10_bpe
 from siftwood.llm.decontaminate import op7_decontaminate
 from siftwood.llm.language_id import op1_language_id
 from siftwood.llm.line_dedup import OP2_SQL, op2_line_dedup
-from siftwood.llm.near_dedup import op5_near_dedup
+from siftwood.llm.near_dedup import OP5_SQL, op5_near_dedup
 from siftwood.llm.quality_classifier import op9_quality_classifier
-from siftwood.llm.quality_rules import op8_quality_rules
-from siftwood.llm.secret_scan import op3_secret_scan
+from siftwood.llm.quality_rules import OP8_SQL, op8_quality_rules
+from siftwood.llm.secret_scan import OP3_SQL, op3_secret_scan
 from siftwood.llm.sharding import op6_sharding
 from siftwood.llm.warc import OP4_SQL, op4_warc
 
@@ -26,5 +26,8 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
+    "op3_secret_scan": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op5_near_dedup": OP5_SQL,
+    "op8_quality_rules": OP8_SQL,
 }

@@ -40,10 +40,16 @@ SPAN = "struct<start:int,order:int,kind:string,end:int>"
 LEDGER = f"blob string, kind string, version int, spans array<{SPAN}>"
 
 
+def bounded_pattern(rule: Rule) -> str:
+    """A run of one character class cannot hold a longer run, so its least length can go into the pattern."""
+    if rule.group or not rule.pattern.endswith("]+"):
+        return rule.pattern
+    return f"{rule.pattern[:-1]}{{{rule.at_least - len('AKIA') * rule.pattern.startswith('AKIA')},}}"
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """The rule's leftmost non-overlapping matches that stand, as an array of spans; empty for none."""
-    # a run of one character class cannot hold a longer run, so its least length can go into the pattern
-    bounded = f"{rule.pattern[:-1]}{{{rule.at_least - len('AKIA') * rule.pattern.startswith('AKIA')},}}" if rule.group == 0 and rule.pattern.endswith("]+") else rule.pattern
+    bounded = bounded_pattern(rule)
     found = F.regexp_extract_all(text, F.lit(bounded), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(bounded), F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, bounded, -1)
@@ -119,3 +125,25 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str, ledger_path: str | None =
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *(count(r.kind) for r in RULES), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def _op3_rows(rule: Rule, order: int) -> str:
+    pattern = bounded_pattern(rule).replace("'", "''")
+    found = lambda group: f"regexp_extract_all(t, '{pattern}', {group})"
+    return f"SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, {rule.at_least} AS least, {found(0)} AS a, {found(rule.group)} AS v, regexp_split_to_array(t, '{pattern}') AS gaps FROM d"
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_op3_rows(r, i) for i, r in enumerate(RULES))}),
+each AS (SELECT doc_id, kind, ord, least, unnest(gaps[1 : len(a)]) AS gap, unnest(a) AS m, unnest(v) AS value, generate_subscripts(a, 1) AS i FROM found),
+placed AS (SELECT doc_id, kind, ord, length(m) AS size, length(value) >= least AS stands,
+  sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM each),
+spans AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+  count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || CAST(stop - size AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY stop - size, ord) AS spans
+  FROM placed WHERE stands GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN spans USING (doc_id)
+"""
