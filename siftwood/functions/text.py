@@ -73,17 +73,24 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(lowered(text), F.lit(TOKEN), F.lit(0))
 
 
+def bound(value: Column, make) -> Column:
+    """make(value) with the value computed once, however often make uses it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def _cut(word: Column, n: int) -> Column:
     return F.left(word, F.length(word) - n)
 
 
 def stem_ru(word: Column) -> Column:
-    """The first suffix of the list that fits goes, if three letters stay; otherwise nothing does."""
-    size = F.length(word)
-    bare = F.when((size > 4) & (word.endswith("ся") | word.endswith("сь")), _cut(word, 2)).otherwise(word)
-    found = F.get(F.filter(F.array(*(F.lit(s) for s in RU_SUFFIXES)), lambda s: F.endswith(bare, s)), 0)
-    left = F.length(bare) - F.length(found)
-    return F.when(size <= 3, word).when(left >= 3, F.left(bare, left)).otherwise(bare)
+    """The first suffix of the list that fits goes, if three letters stay; otherwise nothing does.
+
+    One pattern over the word read backwards: an alternation tries its branches in order, and the atomic group
+    keeps it from trying another where too little would stay.
+    """
+    backwards = "|".join(s[::-1] for s in RU_SUFFIXES)
+    cut = F.regexp_replace(F.reverse(word), f"^(?:[яь]с(?=.{{3}}))?(?:(?>{backwards})(?=.{{3}}))?", "")
+    return F.when(F.length(word) <= 3, word).otherwise(F.reverse(cut))
 
 
 def stem_en(word: Column) -> Column:
@@ -149,10 +156,14 @@ def long_sentences(text: Column, over: int = 5) -> Column:
 
 def windows(sentences: Column, size: int = 2, overlap: int = 1) -> Column:
     """Runs of ``size`` sentences, each starting size - overlap after the last, until one reaches the end."""
-    step, n = max(1, size - overlap), F.size(sentences)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(sentences, i * step + 1, size), " "))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
+    step = max(1, size - overlap)
+
+    def cut(s: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(s) - size) / step)).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(s, i * step + 1, size), " "))
+        return F.when(F.size(s) > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    return bound(sentences, cut)
 
 
 def is_question(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """What has no built-in: hashed embeddings, simhash, transposition distance, sparse codes, file decoding.
 
 Arrow-batched UDFs. Hashes are 64-bit BLAKE2b, little endian; those of repeated features are computed once
-per batch.
+per task.
 """
 
 from __future__ import annotations
@@ -25,9 +25,13 @@ def tokens(text: str | None) -> list[str]:
 
 
 class Hashes(dict):
-    """64-bit hashes by feature, filled on demand."""
+    """64-bit hashes by feature, filled on demand and emptied when too many."""
+
+    MOST = 1_000_000
 
     def __missing__(self, feature: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
         value = self[feature] = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
         return value
 
@@ -53,12 +57,46 @@ def embed_tokens(words: list[str], weights: list[float], hashes: Hashes, size: i
     """Words by their weights, and character 3- and 4-grams of the line they make, into signed buckets. Not normalised."""
     line = f" {' '.join(words)} "
     features = [*words, *(f"#{line[i : i + n]}#" for n in (3, 4) for i in range(len(line) - n + 1))]
-    out = np.zeros(size)
-    if features:
-        values = np.array([hashes[f] for f in features], np.uint64)
-        sign = np.where((values >> np.uint64(32)) & np.uint64(1) == 1, 1.0, -1.0)
-        every = np.concatenate((np.asarray(weights, float), np.full(len(features) - len(words), NGRAM_WEIGHT)))
-        np.add.at(out, (values % np.uint64(size)).astype(np.int64), sign * every)
+    every = np.concatenate((np.asarray(weights, float), np.full(len(features) - len(words), NGRAM_WEIGHT)))
+    return _buckets(np.array([hashes[f] for f in features], np.uint64), every, np.zeros(len(features), np.int64), 1, size)[0]
+
+
+def _buckets(values: np.ndarray, weights: np.ndarray, row: np.ndarray, rows: int, size: int) -> np.ndarray:
+    """Signed sums by row and bucket."""
+    sign = np.where((values >> np.uint64(32)) & np.uint64(1) == 1, 1.0, -1.0)
+    at = row * size + (values % np.uint64(size)).astype(np.int64)
+    return np.bincount(at, sign * weights, rows * size).reshape(rows, size)
+
+
+class Grams:
+    """Character n-grams of many lines at once: each distinct one of a batch is looked up once."""
+
+    def __init__(self, hashes: Hashes):
+        self.hashes = hashes
+
+    def __call__(self, lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each n-gram ``#abc#`` of the lines, and the line it stands in."""
+        points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lengths = np.array([len(x) for x in lines], np.int64)
+        row = np.repeat(np.arange(len(lines)), lengths)
+        if len(points) < n:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        inside = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
+        # letters, digits and the space lie below 2 ** 16
+        keys = sum((points[inside + i] << np.uint64(16 * i) for i in range(n)), np.zeros(len(inside), np.uint64))
+        distinct, which = np.unique(keys, return_inverse=True)
+        spelled = distinct.astype("<u8").view("<u2").reshape(-1, 4)[:, :n].astype("<u4").tobytes().decode("utf-32-le")
+        found = np.fromiter((self.hashes[f"#{spelled[i : i + n]}#"] for i in range(0, len(spelled), n)), np.uint64, len(distinct))
+        return found[which], row[inside]
+
+
+def embed_lines(words: list[str], codes: np.ndarray, weights: np.ndarray, row: np.ndarray, lines: list[str], hashes: Hashes, size: int = DIMENSIONS) -> np.ndarray:
+    """embed_tokens for a batch. words: the distinct ones; codes, weights, row: of each token its word, weight and line."""
+    values = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
+    out = _buckets(values[codes], weights, row, len(lines), size)
+    for n in (3, 4):
+        found, at = Grams(hashes)(lines, n)
+        out += _buckets(found, np.full(len(found), NGRAM_WEIGHT), at, len(lines), size)
     return out
 
 

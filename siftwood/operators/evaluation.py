@@ -13,11 +13,10 @@ def probes(docs: DataFrame, n: int = 150, low: int = 6, high: int = 10, least: i
     """query_id (the source document), text: runs of 6 to 10 tokens from documents that have enough, chosen by a hash."""
     tokens = T.tokenize(F.col("text"))
     rows = docs.select("docid", tokens.alias("t")).where(F.size("t") >= least)
-    h = F.pmod(F.xxhash64(F.lit("probe"), "docid"), F.lit(1 << 20))
-    # a second hash: the chosen h are all near 0 in a large table
-    place = F.pmod(F.xxhash64(F.lit("window"), "docid"), F.lit(1 << 40))
-    size = (low + F.col("place") % (high - low + 1)).cast("int")
-    cut = rows.withColumn("h", h).withColumn("place", place).withColumn("size", size).withColumn("start", (F.expr("place div 16") % (F.size("t") - F.col("size") + 1)).cast("int"))
+    # one digest that any engine has; the digits that choose say nothing of those that place
+    digits = lambda a, n: F.conv(F.substring("digest", a, n), 16, 10).cast("long")
+    cut = rows.withColumn("digest", F.md5(F.col("docid").cast("string"))).withColumn("h", digits(1, 8))
+    cut = cut.withColumn("size", (low + digits(9, 6) % (high - low + 1)).cast("int")).withColumn("start", (digits(15, 8) % (F.size("t") - F.col("size") + 1)).cast("int"))
     chosen = cut.orderBy("h", "docid").limit(n)  # the feature: a report over n probes
     return chosen.select(F.col("docid").alias("query_id"), F.array_join(F.slice("t", F.col("start") + 1, F.col("size")), " ").alias("text"))
 

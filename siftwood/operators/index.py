@@ -15,8 +15,8 @@ from siftwood.functions import text as T
 
 
 def terms(docs: DataFrame) -> DataFrame:
-    """docid, pos, term: the normalised terms in order."""
-    return docs.select("docid", F.posexplode(T.norm_terms(F.col("text"))).alias("pos", "term"))
+    """docid, pos, term: the normalised terms in order. Stemmed as rows, where expressions are compiled."""
+    return docs.select("docid", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")).select("docid", "pos", T.stem(F.col("token")).alias("term"))
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,9 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    return terms(docs).groupBy("term").agg(F.count("*").alias("cnt"))
+    """term, cnt: each distinct token is stemmed once."""
+    tokens = docs.select(F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+    return tokens.groupBy(T.stem(F.col("token")).alias("term")).agg(F.sum("cnt").alias("cnt"))
 
 
 def surface(docs: DataFrame) -> DataFrame:
@@ -66,6 +68,11 @@ class Index:
     doc_stats: DataFrame
     corpus_stats: DataFrame
 
+    def surface(self, tokens: DataFrame) -> DataFrame:
+        """token: those of the given tokens (a small table) that stand in some document."""
+        every = self.docs.select(F.explode(T.tokenize(F.col("text"))).alias("token"))
+        return every.join(tokens.select("token").distinct(), "token", "left_semi").distinct()
+
     def stored(self) -> Index:
         """The same index in tables of the shared folder: many queries read it, none makes it again."""
         from siftwood.scratch import materialise

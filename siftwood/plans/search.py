@@ -34,6 +34,10 @@ class Config:
     calib: tuple[float, float] = (38.7, -28.0)
     calib_sparse: tuple[float, float] = (4.0, -2.0)
     weights: tuple[float, ...] = fusion.DEFAULT_WEIGHTS
+    repair: bool = True
+    probes: int = 16
+    wide: int = 48
+    least: float = 0.35
 
 
 @dataclass
@@ -83,14 +87,22 @@ def parsed(queries: DataFrame) -> DataFrame:
     )
 
 
-def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), tombstones: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
+def query_words(queries: DataFrame, index: Index, config: Config) -> DataFrame:
+    """query_id, term of what a query says beside its operators, with typos and layouts repaired if the settings say so."""
+    said = parsed(queries).select("query_id", F.col("words").alias("text"))
+    return materialise(lexical.repaired_query_terms(said, index) if config.repair else lexical.query_terms(said), "words")
+
+
+def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), tombstones: DataFrame | None = None, context: DataFrame | None = None, ivf: dense.InvertedFile | None = None) -> DataFrame:
     """query_id, docid, rank, raw_cos, bm25_raw, norm, conf: the fused candidates after filters.
 
     Sources filter before the top k of both channels, so a filter never costs results. context: (query_id,
-    term) of each session's last query, searched with a lower weight in the same source.
+    term) of each session's last query, searched with a lower weight in the same source. ivf: vectors have the
+    list_id it has assigned; queries without a source then search the nearest lists only, and more of them
+    where these give too little.
     """
     asked = parsed(queries)
-    terms = lexical.query_terms(asked.select("query_id", F.col("words").alias("text")))
+    terms = query_words(queries, index, config)
     wanted_phrases = asked.select("query_id", F.posexplode("phrases").alias("phrase_id", "p")).select("query_id", "phrase_id", T.norm_terms(F.col("p")).alias("terms")).where(F.size("terms") > 0)
 
     bonus = lexical.phrase_bonus(wanted_phrases, index)
@@ -99,16 +111,9 @@ def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: Da
     docs = docs if "heading" in docs.columns else docs.withColumn("heading", F.lit(None).cast("string"))
     facts = docs.select("docid", "source", "heading")
 
-    def within(rows: DataFrame) -> DataFrame:
-        """Rows whose document is in the query's source; unfiltered queries need no look at it."""
-        limited = rows.join(allowed, "query_id")
-        free = limited.where("source is null").select(*rows.columns)
-        bound = limited.where("source is not null").withColumnRenamed("source", "wanted").join(facts.select("docid", "source"), "docid").where(F.contains("source", "wanted"))
-        return free.unionByName(bound.select(*rows.columns))
-
     def scored(wanted: DataFrame, k: int, extra: DataFrame | None = None) -> DataFrame:
         rows = lexical.term_scores(wanted, index).select("query_id", "docid", "score")
-        rows = within(rows if extra is None else rows.unionByName(extra))
+        rows = lexical.in_source(rows if extra is None else rows.unionByName(extra), allowed, facts)
         total = rows.groupBy("query_id", "docid").agg(F.round(F.sum("score"), 9).alias("score")).where("score > 0")
         total = total if tombstones is None else total.join(tombstones, "docid", "left_anti")
         return lexical.top(total, k, F.desc("score"), F.asc("docid"))
@@ -126,11 +131,14 @@ def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: Da
         lists.append(scored(extra.select("query_id", "term", F.lit(config.session_weight).alias("weight")), 30).select("query_id", F.lit(3).alias("list_no"), "docid", "rank"))
 
     alive = vectors if tombstones is None else vectors.join(tombstones, "docid", "left_anti")
-    spoken = query_vectors.join(asked.where(F.trim("words") != "").select("query_id", "source"), "query_id")
-    near = dense.topk(spoken.where("source is null"), alive, config.channel)
-    for r in spoken.where("source is not null").select("source").distinct().collect():  # a scan per source asked for
-        here = alive.join(facts.where(F.contains("source", F.lit(r["source"]))).select("docid"), "docid")
-        near = near.unionByName(dense.topk(spoken.where(F.col("source") == r["source"]), here, config.channel))
+    spoken = materialise(query_vectors.join(asked.where(F.trim("words") != "").select("query_id", "source"), "query_id"), "spoken")
+    if ivf is not None:
+        near = ivf.topk_widening(spoken.where("source is null"), alive, config.channel, config.probes, max(config.probes, config.wide), config.least)
+    else:
+        near = dense.topk(spoken.where("source is null"), alive, config.channel)
+    bound = spoken.where("source is not null")
+    if not bound.isEmpty():  # one scan for all sources asked for
+        near = near.unionByName(dense.topk(bound, alive.join(facts.select("docid", "source"), "docid"), config.channel, by_source=True))
     near = materialise(near, "near")
     lists.append(near.select("query_id", F.lit(0).alias("list_no"), "docid", "rank"))
 
@@ -143,16 +151,15 @@ def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: Da
     sparse = every.where("list_no > 0").select("query_id", "docid").distinct().withColumn("in_sparse", F.lit(True))
     lexed = fusion.normalised(first).select("query_id", "docid", F.col("score").alias("bm25_raw"), "norm")
     cand = fused.join(near.select("query_id", "docid", F.col("score").alias("raw")), ["query_id", "docid"], "left").join(lexed, ["query_id", "docid"], "left").join(sparse, ["query_id", "docid"], "left")
-    headed = cand.join(allowed.select("query_id", F.lower("heading").alias("head")), "query_id").join(facts.select("docid", "heading"), "docid")
-    headed = headed.where(F.col("head").isNull() | F.contains(F.lower(F.coalesce("heading", F.lit(""))), F.col("head")))
+    headed = lexical.under_heading(cand, allowed, facts)
     conf = fusion.confidence(F.col("raw"), F.col("norm"), F.coalesce("in_sparse", F.lit(False)), *config.calib, *config.calib_sparse)
     return headed.select("query_id", "docid", "rank", "heading", F.col("raw").alias("raw_cos"), "bm25_raw", "norm", conf.alias("conf"))
 
 
-def search(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), feedback: DataFrame | None = None, corrections: DataFrame | None = None, tombstones: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), feedback: DataFrame | None = None, corrections: DataFrame | None = None, tombstones: DataFrame | None = None, context: DataFrame | None = None, ivf: dense.InvertedFile | None = None) -> DataFrame:
     """query_id, place, docid, text, raw_cos, conf, ltr, margin, zone of the best k candidates."""
-    found = materialise(pool(queries, index, vectors, query_vectors, config, tombstones, context), "pool")
-    words = lexical.query_terms(parsed(queries).select("query_id", F.col("words").alias("text")))
+    found = materialise(pool(queries, index, vectors, query_vectors, config, tombstones, context, ivf), "pool")
+    words = query_words(queries, index, config)
     asked = words.groupBy("query_id").agg(F.collect_set("term").alias("query_terms"))
     rare = index.lexicon.where("df = 1").select("term").join(words, "term").groupBy("query_id").agg(F.collect_set("term").alias("rare_terms"))
     docs = index.docs

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from siftwood.operators import answers, dense, evaluation, feedback, fusion, ing
 from siftwood.operators.index import Index, surface
 from siftwood.operators.index import spelling as spelling_keys
 from siftwood.plans import search as plans
-from siftwood.scratch import materialise
+from siftwood.scratch import fresh_path, materialise
 from siftwood.sources import files, store, taxonomy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +134,27 @@ def t7_deletes(spark, sf_dir):
     return tokens.select("token", F.explode(T.deletes(F.col("token"))).alias("delete_key"))
 
 
-@query()
+def deletes_sql(name: str, source: str, more: str = "") -> str:
+    """Tables of the strings d left of w after one or two deletions, ending in ``name``. more: further columns."""
+    each = "LATERAL (SELECT unnest(range(1, length({})+ 1)) AS i)"
+    once = f"{name}1 AS (SELECT w{more}, substr(w, 1, i - 1) || substr(w, i + 1) AS d FROM {source}, {each.format('w')})"
+    twice = f"{name}2 AS (SELECT w{more}, substr(d, 1, i - 1) || substr(d, i + 1) AS d FROM {name}1, {each.format('d')})"
+    return f"{once}, {twice}, {name} AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT * FROM {name}1 UNION ALL SELECT * FROM {name}2))"
+
+
+def osa_sql(pairs: str) -> str:
+    """Tables that end in ``osa`` (token, other, edit): the distance of the pairs by rows of its table, a swap of neighbours counting one."""
+    cell = "least(cur[e[1] + 1] + 1, acc[e[1]] + 1, cur[e[1]] + cost, CASE WHEN i >= 1 AND e[1] >= 2 AND token[i + 1] = other[e[1] - 1] AND token[i] = other[e[1]] THEN prev[e[1] - 1] + cost END)"
+    cell = cell.replace("cost", "CASE WHEN token[i + 1] = other[e[1]] THEN 0 ELSE 1 END")
+    return f"""dp AS (SELECT token, other, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS prev, range(0, length(other) + 1) AS cur FROM {pairs}
+  UNION ALL SELECT token, other, i + 1, cur, list_reduce(list_transform(range(1, length(other) + 1), lambda j: [j]), lambda acc, e: list_append(acc, {cell}), [i + 1]) FROM dp WHERE i < length(token)),
+osa AS MATERIALIZED (SELECT token, other, CAST(least(3, cur[length(other) + 1]) AS INTEGER) AS edit FROM dp WHERE i = length(token))"""
+
+
+@query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT DISTINCT w FROM (SELECT unnest({TOKENS}) AS w FROM benchmark) WHERE length(w) >= 4),
+{deletes_sql('k', 't')},
+pairs AS MATERIALIZED (SELECT DISTINCT a.w AS token, b.w AS other FROM k a JOIN k b USING (d) WHERE a.w < b.w),
+{osa_sql('pairs')} SELECT * FROM osa""")
 def t8_edit_distance(spark, sf_dir):
     tokens = benchmark(spark, sf_dir).select(F.explode(T.tokenize(F.col("text"))).alias("token")).where(F.length("token") >= 4).distinct()
     pairs = tokens.select("token", F.explode(T.deletes(F.col("token"))).alias("key"))
@@ -180,9 +201,17 @@ def t14_is_question(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_question(F.col("text")).alias("question"))
 
 
-@query("SELECT conv_id, turn, CAST(NULL AS VARCHAR) AS kind FROM conversations")
+ASKED = ("В каком году это было?", "Когда жил %?", "Сколько стоит %?", "Как звали %?", "Кто такой %?", "Где живёт %?", "Почему % молчит?", "Зачем %?", "Что делает %?", "Расскажи про %", "Просто %")
+KINDS = ("year", "year", "number", "name", "name", "place", "reason", "reason", "thing", "thing", None)
+
+
+@query(f"""SELECT conv_id, turn, ({[k or "" for k in KINDS]})[CAST((conv_id + turn) % {len(KINDS)} AS INTEGER) + 1] AS kind,
+  ({[not a.startswith(("Расскажи", "Просто")) for a in ASKED]})[CAST((conv_id + turn) % {len(KINDS)} AS INTEGER) + 1] AS question FROM conversations""")
 def t15_question_type(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.question_type(F.col("text")).alias("kind"))
+    """Each turn's role put into one of the questions."""
+    asked = F.replace(F.get(F.array(*(F.lit(a) for a in ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED)).cast("int")), F.lit("%"), F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", asked.alias("text"))
+    return rows.select("conv_id", "turn", F.coalesce(T.question_type(F.col("text")), F.lit("")).alias("kind"), T.is_question(F.col("text")).alias("question"))
 
 
 @query("""SELECT doc_id AS docid, concat_ws(' · ', source, 'heading ' || lang, 'line ' || CAST(n_chars AS VARCHAR)) AS citation FROM documents""")
@@ -191,10 +220,14 @@ def t18_citation(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("docid"), T.citation(F.col("source"), heading=F.col("lang"), page=F.lit(None), line=F.col("n_chars")).alias("citation"))
 
 
-@query(r"""SELECT doc_id AS docid, unnest(regexp_extract_all(text, '(?:^|[^0-9A-Za-zÀ-ž_])(1[0-9]{3}|20[0-9]{2})(?:$|[^0-9A-Za-zÀ-ž_])', 1)) AS year FROM documents""")
+DATED = "text || ' In ' || CAST(1000 + doc_id % 1500 AS VARCHAR) || ',' || CAST(1900 + doc_id % 300 AS VARCHAR) || ' and é1999 or 1' || CAST(doc_id AS VARCHAR)"
+
+
+@query(rf"""SELECT doc_id AS docid, unnest(regexp_extract_all(regexp_replace({DATED}, '([^\p{{L}}\p{{M}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])(1[0-9]{{3}}|20[0-9]{{2}})(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])', 1)) AS year FROM documents""")
 def t20_years(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit("(?:^|[^0-9A-Za-zÀ-ž_])(1[0-9]{3}|20[0-9]{2})(?:$|[^0-9A-Za-zÀ-ž_])"), F.lit(1))
-    return documents(spark, sf_dir).select("docid", F.explode(found).alias("year"))
+    """Every text with some numbers at its end, some of which are years."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docid"), F.expr(DATED.replace("VARCHAR", "STRING")).alias("text"))
+    return docs.select("docid", F.explode(T.entities(F.col("text"), T.YEAR, 1)).alias("year"))
 
 
 # --- index -----------------------------------------------------------------------------------------
@@ -227,19 +260,9 @@ def a4_term_weights(spark, sf_dir):
     return counts.crossJoin(F.broadcast(total)).select("term", "cnt", F.round(N.sif(F.col("cnt"), F.col("total")), 9).alias("weight"))
 
 
-@query(f"""WITH {TERMS}, t AS (SELECT term AS w, df FROM lex WHERE df >= 2 AND length(term) >= 4 AND length(term) <= 8),
-d1 AS (SELECT w, df, substr(w, 1, i - 1) || substr(w, i + 1) AS d FROM t, range(1, 9) r(i) WHERE i <= length(w)),
-d2 AS (SELECT w, df, substr(d, 1, i - 1) || substr(d, i + 1) AS d FROM d1, range(1, 9) r(i) WHERE i <= length(d)),
-a AS (SELECT DISTINCT * FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2))
-SELECT d AS delete_key, count(*) AS n, max(df) AS df FROM a GROUP BY d""")
+@query(f"""WITH {TERMS}, t AS MATERIALIZED (SELECT term AS w, df FROM lex WHERE df >= 2 AND length(term) >= 4),
+{deletes_sql('k', 't', ', df')} SELECT d AS delete_key, count(*) AS n, max(df) AS df FROM k GROUP BY d""")
 def a6_spelling_keys(spark, sf_dir):
-    words = Index.build(documents(spark, sf_dir)).lexicon.where(F.length("term") <= 8)
-    return spelling_keys(words).groupBy("delete_key").agg(F.count("*").alias("n"), F.max("df").alias("df"))
-
-
-@query()
-def a6_spelling_keys_whole(spark, sf_dir):
-    """The keys of the whole lexicon; the SQL of a6_spelling_keys reaches terms of up to 8 characters only."""
     return spelling_keys(Index.build(documents(spark, sf_dir)).lexicon).groupBy("delete_key").agg(F.count("*").alias("n"), F.max("df").alias("df"))
 
 
@@ -296,26 +319,28 @@ def a6_phrase_bonus(spark, sf_dir):
 
 
 @query(f"""WITH {TERMS}, {BATCH}, {SCORES},
-x AS (SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS r FROM qt) WHERE r = 1),
+x AS (SELECT query_id, {STEM} AS term FROM (SELECT item_id AS query_id, ({TOKENS})[1] AS w FROM benchmark)),
 gone AS (SELECT DISTINCT query_id, doc_id FROM x JOIN post USING (term))
 SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM sc ANTI JOIN gone USING (query_id, doc_id) GROUP BY query_id""")
 def p4_exclusion(spark, sf_dir):
+    """Each query excludes its first word."""
     index, wanted = _indexed(spark, sf_dir)
-    order = W.partitionBy("query_id").orderBy(F.desc(F.length("term")), F.asc("term"))
-    longest = wanted.withColumn("r", F.row_number().over(order)).where("r = 1")
-    gone = index.postings.join(longest.select("query_id", "term"), "term").select("query_id", "docid").distinct()
+    first = benchmark(spark, sf_dir).select("query_id", F.get(T.tokenize(F.col("text")), 0).alias("text"))
     scores = lexical.term_scores(wanted, index).groupBy("query_id", "docid").agg(F.round(F.sum("score"), 9).alias("score"))
-    return scores.join(gone, ["query_id", "docid"], "left_anti").groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+    left = scores.join(lexical.excluded(first, index), ["query_id", "docid"], "left_anti")
+    return left.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
 @query(f"""WITH {TERMS}, {BATCH}, {SCORES},
 h AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank
-  FROM sc JOIN documents USING (doc_id) WHERE contains(source, 'src1'))
+  FROM sc JOIN documents USING (doc_id) WHERE query_id % 3 = 0 OR contains(source, 'src' || CAST(query_id % 3 AS VARCHAR)))
 SELECT query_id, doc_id AS docid, rank, round(score, 6) AS score FROM h WHERE rank < 10""")
 def p1_source_filter(spark, sf_dir):
+    """A third of the queries is free, the others ask for one of two sources."""
     index, wanted = _indexed(spark, sf_dir)
-    inside = index.docs.where(F.contains("source", F.lit("src1"))).select("docid")
-    scores = lexical.term_scores(wanted, index).join(inside, "docid").groupBy("query_id", "docid").agg(F.round(F.sum("score"), 9).alias("score"))
+    third = F.col("query_id") % 3
+    asked = benchmark(spark, sf_dir).select("query_id", F.when(third > 0, F.concat(F.lit("src"), third.cast("string"))).alias("source"))
+    scores = lexical.in_source(lexical.term_scores(wanted, index), asked, index.docs).groupBy("query_id", "docid").agg(F.round(F.sum("score"), 9).alias("score"))
     return lexical.top(scores, 10, F.desc("score"), F.asc("docid")).select("query_id", "docid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -331,17 +356,37 @@ def a8_expansion(spark, sf_dir):
     return lexical.expansion(hits, wanted, Index.build(first)).select("query_id", "term", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+MISTYPED = f"""asked AS MATERIALIZED (SELECT DISTINCT query_id, unnest({TOKENS}) AS token FROM (SELECT item_id AS query_id, regexp_replace(text, '^(\\w\\w)\\w', '\\1') AS text FROM benchmark)),
+unknown AS MATERIALIZED (SELECT DISTINCT token AS w FROM asked WHERE length(token) BETWEEN 4 AND 28 AND token NOT IN (SELECT w FROM tok)),
+known AS MATERIALIZED (SELECT term AS w, df FROM lex WHERE df >= 2 AND length(term) BETWEEN 4 AND 29),
+{deletes_sql('u', 'unknown')}, {deletes_sql('k', 'known', ', df')},
+pairs AS MATERIALIZED (SELECT DISTINCT u.w AS token, k.w AS other FROM u JOIN k USING (d)),
+{osa_sql('pairs')},
+best AS (SELECT token, other FROM (SELECT token, other, row_number() OVER (PARTITION BY token ORDER BY edit, df DESC, other) AS r FROM osa JOIN known ON known.w = other WHERE edit <= 2) WHERE r = 1),
+repaired AS MATERIALIZED (SELECT DISTINCT query_id, {STEM} AS term FROM (SELECT query_id, coalesce(other, token) AS w FROM asked LEFT JOIN best USING (token)))"""
+
+
+def _mistyped(spark, sf_dir):
+    """Benchmark texts whose first token lacks its third letter."""
+    return benchmark(spark, sf_dir).select("query_id", F.regexp_replace("text", r"^(\w\w)\w", "$1").alias("text"))
+
+
+@query(f"WITH RECURSIVE {TERMS}, {MISTYPED} SELECT query_id, term FROM repaired")
 def q4_repaired_terms(spark, sf_dir):
-    """Benchmark texts with the first token of each mistyped."""
-    index = Index.build(documents(spark, sf_dir))
-    typo = benchmark(spark, sf_dir).select("query_id", F.regexp_replace("text", r"^(\w\w)\w", "$1").alias("text"))
-    return lexical.repaired_query_terms(typo, index, surface(index.docs), spelling_keys(index.lexicon))
+    return lexical.repaired_query_terms(_mistyped(spark, sf_dir), Index.build(documents(spark, sf_dir)).stored())
+
+
+@query(f"""WITH RECURSIVE {TERMS}, {MISTYPED}, {SCORES.replace("FROM qt JOIN", "FROM repaired JOIN")} SELECT query_id, doc_id AS docid, rank, round(score, 6) AS score FROM hits WHERE rank < 10""")
+def q1_mistyped_channel(spark, sf_dir):
+    """The lexical channel of the hybrid search for mistyped queries."""
+    index = Index.build(documents(spark, sf_dir)).stored()
+    words = plans.query_words(_mistyped(spark, sf_dir), index, plans.Config())
+    return lexical.bm25(words, index, 10).select("query_id", "docid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def a9_sources(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    return store.source_counts(documents(spark, sf_dir))
 
 
 # --- dense retrieval -------------------------------------------------------------------------------
@@ -388,6 +433,33 @@ def q6_recognise(spark, sf_dir):
     return dense.recognise(near, species).select("query_id", "label", "toxic", "warn")
 
 
+def _pictures(spark, sf_dir):
+    """Two of three vectors stand for photos, and their label for a species."""
+    return embeddings(spark, sf_dir).withColumns({"kind": F.when(F.col("docid") % 3 < 2, "image"), "species": F.concat(F.lit("s"), F.col("label").cast("string"))})
+
+
+@query(f"WITH {DENSE} SELECT query_id, docid, rank, round(score, 6) AS score FROM near WHERE rank < 60 AND docid % 3 < 2")
+def p7_kind_filter(spark, sf_dir):
+    rows = _pictures(spark, sf_dir)
+    near = dense.of_kind(dense.topk(probes_of(rows), rows, 60), rows)
+    return near.select("query_id", "docid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT 's' || CAST(label AS VARCHAR) AS species, count(*) AS n FROM embeddings WHERE vec_id % 3 < 2 GROUP BY 1")
+def a10_photo_counts(spark, sf_dir):
+    return files.photo_counts(_pictures(spark, sf_dir))
+
+
+@query("SELECT CAST(label AS INTEGER) AS list_id, count(*) AS n FROM embeddings GROUP BY 1")
+def a19_list_sizes(spark, sf_dir):
+    """Lists whose centroids stand on axes of their own, one a label, so that SQL can tell which list a row is in."""
+    rows = embeddings(spark, sf_dir)
+    most = rows.agg(F.max("label")).first()[0] or 0
+    axes = dense.InvertedFile(np.eye(int(most) + 1, dtype=np.float32))
+    on_axis = rows.select("docid", F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: (i == F.col("label")).cast("float")).alias("vec"))
+    return dense.list_sizes(axes.assign(on_axis))
+
+
 @query()
 def l3_inverted_file(spark, sf_dir):
     """Searched by probing as many lists as a recall of 0.95 takes on this table; tests hold it against exact search."""
@@ -400,14 +472,15 @@ def l3_inverted_file(spark, sf_dir):
 
 @query()
 def n7_hashed_embedding(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return dense.fit_embedder(docs).embed(docs).select("docid", "vec")
+    return dense.fit_and_embed(documents(spark, sf_dir))[1]
 
 
-@query("""SELECT doc_id AS docid, n.doc_id_2 AS nbr FROM documents d,
-LATERAL (SELECT e.doc_id AS doc_id_2 FROM documents e WHERE abs(e.doc_id - d.doc_id) = 1 AND e.source IS NOT DISTINCT FROM d.source) n""")
+@query("""SELECT a.doc_id AS docid, b.doc_id AS nbr FROM documents a JOIN documents b ON abs(a.doc_id - b.doc_id) = 1 AND (a.doc_id // 3 = b.doc_id // 3 OR (a.doc_id // 3 % 4 = 0 AND b.doc_id // 3 % 4 = 0))""")
 def j7_neighbours(spark, sf_dir):
-    return fusion.neighbours(documents(spark, sf_dir))
+    """Three documents share a source; every fourth source is null."""
+    source = F.expr("doc_id div 3")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docid"), F.when(source % 4 != 0, source.cast("string")).alias("source"))
+    return fusion.neighbours(docs)
 
 
 # --- fusion and ranking ----------------------------------------------------------------------------
@@ -503,25 +576,25 @@ def l6_corrected(spark, sf_dir):
 
 def _embedded(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    model = dense.fit_embedder(docs)
-    return docs, materialise(model.embed(docs).select("docid", "vec"), "vectors"), materialise(model.embed(benchmark(spark, sf_dir)).select("query_id", "vec"), "asked")
+    model, vectors = dense.fit_and_embed(docs)
+    return docs, materialise(vectors, "vectors"), materialise(model.embed(benchmark(spark, sf_dir)).select("query_id", "vec"), "asked"), model
 
 
 @query()
 def q1_hybrid_search(spark, sf_dir):
-    docs, vectors, asked = _embedded(spark, sf_dir)
+    docs, vectors, asked, _ = _embedded(spark, sf_dir)
     return plans.search(benchmark(spark, sf_dir), Index.build(docs).stored(), vectors, asked)
 
 
 @query()
 def q2_ask(spark, sf_dir):
-    docs, vectors, asked = _embedded(spark, sf_dir)
+    docs, vectors, asked, _ = _embedded(spark, sf_dir)
     return plans.ask(asked, vectors, docs)
 
 
 @query()
 def q3_answer(spark, sf_dir):
-    docs, vectors, asked = _embedded(spark, sf_dir)
+    docs, vectors, asked, _ = _embedded(spark, sf_dir)
     return plans.answer(benchmark(spark, sf_dir).withColumn("text", F.concat("text", F.lit("?"))), asked, vectors, docs)
 
 
@@ -679,14 +752,20 @@ def a21_pairwise(spark, sf_dir):
     return evaluation.pairwise_accuracy(shown).select(F.round("accuracy", 6).alias("accuracy"), "n")
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, {TOKENS} AS t, md5(CAST(doc_id AS VARCHAR)) AS m FROM documents),
+h AS (SELECT doc_id, t, CAST('0x' || m[1:8] AS BIGINT) AS h, 6 + CAST('0x' || m[9:14] AS BIGINT) % 5 AS size, CAST('0x' || m[15:22] AS BIGINT) AS spot FROM t WHERE len(t) >= 14),
+c AS (SELECT *, spot % (len(t) - size + 1) AS start FROM h ORDER BY h, doc_id LIMIT 150)
+SELECT doc_id AS query_id, array_to_string(t[start + 1 : start + size], ' ') AS text FROM c""")
 def q9_probes(spark, sf_dir):
     return evaluation.probes(documents(spark, sf_dir))
 
 
-@query("""SELECT count(*) AS n_docs, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS n_en, count(DISTINCT source) AS n_sources FROM documents""")
+@query("""SELECT count(*) AS n_docs, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS n_live, count(*) FILTER (WHERE doc_id % 5 = 0) AS n_images,
+  count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_species FROM documents""")
 def a28_health(spark, sf_dir):
-    return documents(spark, sf_dir).agg(F.count("*").alias("n_docs"), F.sum(F.when(F.col("lang") == "en", 1).otherwise(0)).alias("n_en"), F.countDistinct("source").alias("n_sources"))
+    """Every fifth document stands for a photo, its language for a species, toxic ones are buried."""
+    docs = documents(spark, sf_dir).withColumns({"kind": F.when(F.col("docid") % 5 == 0, "image"), "species": F.col("lang")})
+    return store.health(docs, table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("docid")))
 
 
 @query()
@@ -703,9 +782,8 @@ def q10_eval_rank(spark, sf_dir):
     """Retrieval quality on probes cut from the corpus: lexical, dense and fused."""
     from siftwood.plans import evaluate
 
-    docs, vectors, _ = _embedded(spark, sf_dir)
+    docs, vectors, _, model = _embedded(spark, sf_dir)
     asked = evaluation.probes(docs)
-    model = dense.fit_embedder(docs)
     said = materialise(model.embed(asked).select("query_id", "vec"), "probes")
     gold = asked.select("query_id", F.col("query_id").alias("docid"))
     return evaluate.eval_rank(asked, gold, Index.build(docs).stored(), vectors, said)
@@ -735,10 +813,13 @@ def p9_find(spark, sf_dir):
     return lexical.containing(benchmark(spark, sf_dir), documents(spark, sf_dir))
 
 
-@query("""SELECT doc_id AS docid FROM documents WHERE contains(lower(lang || ' ' || source), 'en src1')""")
+@query("""SELECT q AS query_id, doc_id AS docid FROM documents, (SELECT unnest([0, 1, 2]) AS q) WHERE q = 0 OR contains(lower(concat_ws(' ', lang, source)), CASE q WHEN 1 THEN 'en src1' ELSE 'src2' END)""")
 def p3_heading_filter(spark, sf_dir):
-    headed = documents(spark, sf_dir).withColumn("heading", F.concat_ws(" ", "lang", "source"))
-    return headed.where(F.contains(F.lower("heading"), F.lit("en src1"))).select("docid")
+    """A query without a heading, and two with one."""
+    facts = documents(spark, sf_dir).withColumn("heading", F.concat_ws(" ", "lang", "source"))
+    asked = spark.createDataFrame([(0, None), (1, "EN src1"), (2, "SRC2")], "query_id int, heading string")
+    rows = facts.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("query_id"), "docid")
+    return lexical.under_heading(rows, asked, facts).select("query_id", "docid")
 
 
 @query("""SELECT CAST(n_nationkey AS VARCHAR) AS path, 'key: ' || n_nationkey || ' | name: ' || n_name AS text, 1 AS row FROM nation""")
@@ -756,9 +837,14 @@ def s6_json_lines(spark, sf_dir):
     return files.json_lines(made).select(F.col("source").alias("path"), "line")
 
 
-@query("""SELECT doc_id AS docid, length(text) AS n FROM documents WHERE n_chars <= 20 * 100""")
+@query("""SELECT n_nationkey AS nation, repeat(n_name, CAST(n_nationkey AS INTEGER)) || chr(10) AS text FROM nation WHERE length(n_name) * n_nationkey + 1 <= 100""")
 def s2_size_limit(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("n_chars <= 20 * 100").select(F.col("doc_id").alias("docid"), F.length("text").cast("long").alias("n"))
+    """A file for each nation, which holds its name as often as its key says; files of over 100 bytes are passed over."""
+    folder = fresh_path(spark, "files")
+    made = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.expr("repeat(n_name, cast(n_nationkey as int))").alias("text"))
+    made.write.partitionBy("nation").text(folder)
+    found = files.scan(spark, folder, 100).where("ext = 'txt'")
+    return found.select(F.regexp_extract("path", r"nation=(\d+)", 1).cast(made.schema["nation"].dataType).alias("nation"), V.decoded("content").alias("text"))
 
 
 @query(f"""WITH {TERMS}, b AS (SELECT DISTINCT {STEM} AS term FROM (SELECT unnest({TOKENS}) AS w FROM benchmark))
@@ -784,11 +870,16 @@ def n2_sigmoids(spark, sf_dir):
     return rows.select("event_id", F.round(N.calibrated(F.col("value"), 0.3, -2.0), 6).alias("curve"), F.round(N.sigmoid(F.col("value")), 6).alias("clipped"))
 
 
-@query("""SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS last_user FROM conversations""")
+@query("""WITH m AS (SELECT conv_id, turn, role, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM conversations)
+SELECT conv_id, 'user ' || CAST(max(CASE WHEN role = 'user' THEN turn END) AS VARCHAR) AS heading, string_agg(CASE WHEN role <> 'user' THEN 'turn ' || turn END, ' ' ORDER BY turn) AS text
+FROM m GROUP BY conv_id, part HAVING count(*) FILTER (WHERE role <> 'user') > 0""")
 def w4_carry_forward(spark, sf_dir):
-    order = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", seen.alias("last_user"))
+    """Each user's turn becomes a heading, which its answers carry; each conversation is one document."""
+    turn = F.col("turn").cast("string")
+    line = F.when(F.col("role") == "user", F.concat(F.lit("# user "), turn)).otherwise(F.concat(F.lit("turn "), turn))
+    told = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    docs = told.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+    return ingest.sections(docs).where("heading is not null or text not like '#%'").select("conv_id", "heading", "text")
 
 
 # --- generic relational smoke queries --------------------------------------------------------------

@@ -51,14 +51,21 @@ def csv_rows(files: DataFrame) -> DataFrame:
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
 
+        csv.field_size_limit(1 << 30)
+
+        def one(line: str) -> list[str] | None:
+            try:
+                return next(csv.reader([line]), [])
+            except csv.Error:  # such a line gives no document
+                return None
+
         for pdf in batches:
-            rows = [next(csv.reader([line]), []) for line in pdf["line"]]
-            yield pdf[["path", "ext", "at"]].assign(cells=rows)
+            yield pdf[["path", "ext", "at"]].assign(cells=[one(line) for line in pdf["line"]])
 
     lines = files.select("path", "ext", F.posexplode(lines_of(F.col("body"))).alias("at", "line"))
     split = lines.mapInPandas(cells, "path string, ext string, at int, cells array<string>")
     heads = split.where("at = 0").select("path", F.col("cells").alias("names"))
-    joined = split.where("at > 0").join(heads, "path")
+    joined = split.where("at > 0 and cells is not null").join(heads, "path")
     pair = F.zip_with(F.slice("names", 1, F.size("cells")), F.slice("cells", 1, F.size("names")), lambda h, c: F.when(c != "", F.concat(h, F.lit(": "), c)))
     text = X.clean(F.array_join(F.array_compact(pair), " | "))
     return _documents(joined, text, row=F.col("at")).where("text <> ''")
@@ -124,6 +131,11 @@ def species_folders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     return cards, photos
 
 
+def photo_counts(docs: DataFrame) -> DataFrame:
+    """species, n: how many images (kind) each species has."""
+    return docs.where("kind = 'image'").groupBy("species").agg(F.count("*").alias("n"))
+
+
 def new_images(photos: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One photo per content, without those whose digest is known."""
     once = photos.dropDuplicates(["digest"])

@@ -104,3 +104,17 @@ class Store:
 
 def live(docs: DataFrame, tombstones: DataFrame) -> DataFrame:
     return docs.join(tombstones, "docid", "left_anti")
+
+
+def source_counts(docs: DataFrame) -> DataFrame:
+    """source, n."""
+    return docs.groupBy("source").agg(F.count("*").alias("n"))
+
+
+def health(docs: DataFrame, dead: DataFrame) -> DataFrame:
+    """One row: n_docs, n_live, n_images, n_sources, n_species of docs (docid, source, and where present kind and species)."""
+    marked = docs.join(dead.select("docid", F.lit(True).alias("dead")).distinct(), "docid", "left")
+    image = (F.col("kind") == "image") if "kind" in docs.columns else F.lit(False)
+    species = F.col("species") if "species" in docs.columns else F.lit(None).cast("string")
+    one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    return marked.agg(F.count("*").alias("n_docs"), one(F.col("dead").isNull()).alias("n_live"), one(image).alias("n_images"), F.countDistinct("source").alias("n_sources"), F.countDistinct(species).alias("n_species"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwood.operators import answers, dense, evaluation, feedback, fusion, ingest, lexical
-from siftwood.operators.index import Index, spelling, surface
+from siftwood.operators.index import Index
 from siftwood.plans import search as plans
 
 
@@ -58,7 +58,7 @@ def test_phrases_keep_order(spark, corpus, index):
 
 def test_repair(spark, index):
     asked = spark.createDataFrame([(1, "ветeр кaмень gtcjr rivr"), (2, "альфп")], "query_id int, text string")
-    got = {(r.query_id, r.term) for r in lexical.repaired_query_terms(asked, index, surface(index.docs), spelling(index.lexicon)).collect()}
+    got = {(r.query_id, r.term) for r in lexical.repaired_query_terms(asked, index).collect()}
     assert (1, "river") in got and any(t.startswith("альф") for q, t in got if q == 2)
 
 
@@ -76,7 +76,7 @@ def test_spelling_keys_of_long_terms(spark, monkeypatch):
             n, most = want.get(key, (0, 0))
             want[key] = (n + 1, max(most, df))
     assert any(len(w) > 8 for w in lexicon)
-    assert {r.delete_key: (r.n, r.df) for r in queries.QUERIES["a6_spelling_keys_whole"](spark, "").collect()} == want
+    assert {r.delete_key: (r.n, r.df) for r in queries.QUERIES["a6_spelling_keys"](spark, "").collect()} == want
 
 
 def test_operators_are_parsed_alike(spark):
