@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwood.llm.shared import arrow_map, give_back, held_out, split_words, text_slices
+from siftwood.llm.shared import arrow_map, give_back, held_out, materialise, split_words, text_slices
 
 SAMPLE_DOCS = 300
 EM_ROUNDS = 3
@@ -224,9 +224,10 @@ class UnigramModel:
 def fit(words: list[str], counts: np.ndarray, languages: list[str], pieces: list[str], rounds: int = EM_ROUNDS) -> UnigramModel:
     """Expectation-maximisation over all segmentations; counts is word x language."""
     model = UnigramModel(languages, pieces, np.full((len(pieces), len(languages)), 1 / len(pieces)))
-    usable = [i for i, w in enumerate(words) if len(w) <= BLOCK]
-    parts = np.array_split(np.array(usable, dtype=np.int64), max(1, len(usable) // 8192))
-    lattices = [(Lattice([words[i] for i in part], model.index), counts[part]) for part in parts if len(part)]
+    # a word of more letters than BLOCK is fitted in parts
+    cut = [(word[k : k + BLOCK], i) for i, word in enumerate(words) for k in range(0, len(word), BLOCK)]
+    parts = np.array_split(np.arange(len(cut)), max(1, len(cut) // 8192))
+    lattices = [(Lattice([cut[k][0] for k in part], model.index), counts[[cut[k][1] for k in part]]) for part in parts if len(part)]
     for _ in range(rounds):
         used = sum((x.expected(model.prob, n) for x, n in lattices), np.zeros_like(model.prob)) + 1e-3
         model.prob = np.maximum(used / used.sum(0), FLOOR)
@@ -239,12 +240,10 @@ def train(docs: DataFrame, model_file: str, sample_docs: int = SAMPLE_DOCS) -> U
     None if no document has both a language and a text. The driver receives word counts of the sample only.
     """
     own = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    languages = sorted(sizes)
-    limit = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / sizes[k]))))
-    chosen = own.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < limit[F.col("lang")] * (1 << 30))
+    # a join, as a table may name any number of languages
+    share = F.least(F.lit(1.0), sample_docs / F.count("*")).alias("__sw_share")
+    shares = materialise(own.groupBy("lang").agg(share), "shares")
+    chosen = own.join(shares, "lang").where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.col("__sw_share") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -254,7 +253,10 @@ def train(docs: DataFrame, model_file: str, sample_docs: int = SAMPLE_DOCS) -> U
             table = table.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
             yield from table.to_batches()
 
-    seen = arrow_map(chosen, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    seen = arrow_map(chosen.select("doc_id", "text", "lang"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(seen.column("lang").to_pylist()))
+    if not languages:
+        return None
     coded = seen.column("word").combine_chunks().dictionary_encode()
     counts = np.zeros((len(coded.dictionary), len(languages)))
     column = {k: i for i, k in enumerate(languages)}
