@@ -75,23 +75,32 @@ def _headers(lines: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in pairs}
 
 
+def _length(headers: dict[str, str], missing: int) -> int:
+    told = headers.get("content-length", "")
+    return int(told) if told.isdecimal() and told.isascii() else missing
+
+
 def _page(urn: str | None) -> int | None:
     found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
     return int(found[1]) if found else None
 
 
 def decode_record(data: bytes) -> Record | None:
-    """The record in a member's bytes; None for kinds without an HTTP payload."""
+    """The record in a member's bytes; None for kinds without an HTTP payload.
+
+    A record without a length holds what the member holds; a revisit that does not tell its payload's length
+    or digest has -1 or an empty one.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
     warc = _headers(head)
-    kind = warc.get("warc-type", "")
+    kind = warc.get("warc-type", "").lower()
     if kind not in ("response", "revisit"):
         return None
-    http, _, payload = rest[: int(warc["content-length"])].partition(b"\r\n\r\n")
+    http, _, payload = rest[: _length(warc, len(rest))].partition(b"\r\n\r\n")
     if kind == "response":
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
     else:
-        size, digest, payload = int(_headers(http)["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:"), b""
+        size, digest, payload = _length(_headers(http), -1), warc.get("warc-payload-digest", "").removeprefix("sha1:"), b""
     return Record(_page(warc.get("warc-record-id")), warc.get("warc-target-uri", ""), kind, _page(warc.get("warc-refers-to")), size, digest, payload)
 
 
@@ -148,10 +157,17 @@ class Members:
                 at = self.first(at + 1)
 
 
+#: Schemes by which Hadoop names stores that pyarrow.fs names otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs"}
+
+
 def _store(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    scheme, sep, rest = path.partition("://")
+    if not sep:
+        return fs.LocalFileSystem(), path.removeprefix("file:")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 RECORDS = "file string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -163,9 +179,11 @@ def read_warc(spark: SparkSession, files: list[tuple[str, int]], range_bytes: in
     Broken members are skipped up to the next record. A record's payload_digest is computed from the bytes
     of a response and taken from the headers of a revisit.
     """
-    ranges = [(path, size, at, at + range_bytes) for path, size in files for at in range(0, size, range_bytes)]
-    table = spark.createDataFrame(ranges, "path string, size long, begin long, end long")
-    table = table.repartition(max(1, min(len(ranges), 10_000)))
+    table = spark.createDataFrame([(path, size) for path, size in files if size], "path string, size long")
+    # ranges are made on the executors, however many there are
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("begin")
+    count = sum(-(-size // range_bytes) for _, size in files)
+    table = table.select("path", "size", begin).withColumn("end", F.col("begin") + range_bytes).repartition(max(1, min(count, 100_000)))
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
