@@ -62,7 +62,7 @@ def settle(state: DataFrame, shards: int) -> DataFrame:
     """Adds ``shard`` and ``slot``: counts differ by one at most, slots run gapless from 0.
 
     Rows are numbered within cells of a shard, linked rows first and whole groups together, and each cell's
-    offset is summed up over the small table of cells. Rows beyond their shard's quota take the free slots
+    offset is summed up over the table of cells, a join away. Rows beyond their shard's quota take the free slots
     of the others in order, so unlinked rows move first.
     """
     cell = (F.when(F.col("__sw_linked"), F.pmod("__sw_k1", F.lit(CELLS))).otherwise(CELLS + F.pmod(F.shiftright("__sw_mix", 20), F.lit(CELLS)))).cast("int")
@@ -70,11 +70,13 @@ def settle(state: DataFrame, shards: int) -> DataFrame:
     parts = max(8, state.count() // (shards * PART_ROWS))
     part = F.pmod(F.shiftright("__sw_mix", 4), F.lit(parts)).cast("int")
     state = state.withColumns({"__sw_cell": cell * parts + part})
-    cells = sorted((r[0], r[1], r[2]) for r in state.groupBy("__sw_shard", "__sw_cell").count().collect())
-    load, offsets = [0] * shards, []
-    for s, c, n in cells:  # shards x 2 x CELLS x parts rows at most
-        offsets.append((s, c, load[s]))
-        load[s] += n
+    cells = materialise(state.groupBy("__sw_shard", "__sw_cell").agg(F.count("*").alias("__sw_n")), "cells")
+    load = [0] * shards
+    for r in cells.groupBy("__sw_shard").agg(F.sum("__sw_n").alias("n")).collect():  # one row per shard
+        load[r["__sw_shard"]] = r["n"]
+    # a shard's cells in order, each with the number of rows before it
+    upto = W.partitionBy("__sw_shard").orderBy("__sw_cell").rowsBetween(W.unboundedPreceding, -1)
+    table = cells.select("__sw_shard", "__sw_cell", F.coalesce(F.sum("__sw_n").over(upto), F.lit(0)).alias("__sw_before"))
     total = sum(load)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     over, free, first_over, first_free = 0, 0, [], []
@@ -83,10 +85,8 @@ def settle(state: DataFrame, shards: int) -> DataFrame:
         first_free.append(free)
         over += max(0, load[s] - quota[s])
         free += max(0, quota[s] - load[s])
-    spark = state.sparkSession
-    table = spark.createDataFrame(offsets or [(0, 0, 0)], "__sw_shard int, __sw_cell int, __sw_before long")
     rank = F.row_number().over(W.partitionBy("__sw_shard", "__sw_cell").orderBy("__sw_k1", "__sw_k2", "__sw_mix", "doc_id"))
-    numbered = state.withColumn("__sw_rank", rank).join(F.broadcast(table), ["__sw_shard", "__sw_cell"])
+    numbered = state.withColumn("__sw_rank", rank).join(table, ["__sw_shard", "__sw_cell"])
     at = F.col("__sw_before") + F.col("__sw_rank") - 1
     longs = lambda x: F.array(*(F.lit(v).cast("long") for v in x))
     excess = at - F.get(longs(quota), F.col("__sw_shard"))
