@@ -1,8 +1,8 @@
 """Line deduplication through sharded minimal perfect hashes.
 
-A first pass counts documents per distinct line hash. The hashes that reach the threshold (no other
-can lose a line) go to shards; one task per shard builds a minimal perfect hash and, in its order,
-arrays of fingerprints, document counts and the document that keeps the line. Documents then send
+A first pass counts documents per distinct line hash. The hashes of lines in two documents or more go to
+shards; one task per shard builds a minimal perfect hash and, in its order, arrays of fingerprints, document
+counts and the document that keeps the line. The counts decide: the index serves any threshold. Documents then send
 packets of their line hashes to the shards and probe the arrays; only the positions of lines to
 drop come back. Lines themselves are never shuffled, and no shard is ever on the driver.
 """
@@ -133,7 +133,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    repeated = materialise(line_counts(docs, min_chars).where(F.col("n") >= min_docs), "lines")
+    repeated = materialise(line_counts(docs, min_chars).where(F.col("n") >= min(2, min_docs)), "lines")
     shards = max(1, -(-repeated.count() // shard_keys))
     repeated = repeated.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))

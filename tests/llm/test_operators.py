@@ -118,6 +118,39 @@ def test_long_runs_leave_their_neighbours_alone(spark, docs):
     assert alone == {k: v for k, v in beside.items() if k >= 0} and all(0 <= v[1] <= 1 for v in beside.values())
 
 
+def test_texts_equal_brute_force(spark):
+    """Sums over every way to cut each word, and the posterior of their products."""
+    pieces = ["\0", "▁", "a", "b", "ab", "▁a", "▁ab", "ba"]
+    prob = np.random.default_rng(4).dirichlet(np.ones(len(pieces)), 3).T
+    model = language_id.UnigramModel(["x", "y", "z"], pieces, prob)
+
+    def total(word, k):
+        if not word:
+            return 1.0
+        ends = [n for n in range(1, len(word) + 1) if word[:n] in pieces]
+        out = sum(prob[pieces.index(word[:n]), k] * total(word[n:], k) for n in ends)
+        return out + (prob[0, k] * total(word[1:], k) if 1 not in ends else 0)
+
+    texts = ["ab ba", "A, bab! c", "abab abab ba ba a", "", None, "12 --", "c", "b\nb\tab"]
+    got = {r.i: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall("[a-z]+", (text or "").lower())
+        share = np.array([np.prod([total("▁" + w, k) for w in words]) for k in range(3)])
+        want = ("xyz"[int(share.argmax())], float(share.max() / share.sum())) if words else ("und", 0.0)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-9
+
+
+@pytest.mark.parametrize("n", [50, 62, 80, 96, 97, 150, 200])
+def test_unspaced_runs_have_scores(spark, docs, n):
+    model = language_id.train(docs, model_file())
+    runs = ["漢" * n, "漢字仮名" * (n // 4), "ก" * n, "ж" * n, "é" * n, "漢" * n + " hello world and more", "ж" * n + " der die das und"]
+    rows = language_id.identify(spark.createDataFrame(list(enumerate(runs)), "i int, text string"), model).collect()
+    assert all(0 <= r.score <= 1 and r.lang_pred in model.languages for r in rows)
+    counts = np.ones((len(runs), 2))
+    words = [w for r in runs for w in r.split()][: len(counts)]
+    assert np.isfinite(language_id.fit(words, counts[: len(words)], ["x", "y"], model.pieces, 2).prob).all()
+
+
 def test_language_accuracy_on_held_out(spark, docs):
     model = language_id.train(docs, model_file())
     rows = language_id.identify(docs, model).where(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
@@ -227,6 +260,23 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, []).count() == 0
 
 
+def test_foreign_records_are_read(spark, tmp_path):
+    import gzip
+
+    member = lambda *lines: gzip.compress("\r\n".join(lines).encode())
+    records = [
+        member("WARC/1.0", "WARC-Type: warcinfo", "Content-Length: 3", "", "abc"),
+        member("WARC/1.0", "WARC-Type: response", "WARC-Target-URI: u", "", "HTTP/1.1 200 OK", "", "body"),
+        member("WARC/1.1", "WARC-Type: response", "Content-Length: x", "", "HTTP/1.1 200 OK", "", "other"),
+        member("WARC/1.1", "WARC-Type: revisit", "Content-Length: 19", "", "HTTP/1.1 200 OK", "", ""),
+        member("WARC/1.1", "WARC-Type: revisit"),
+    ]
+    path = tmp_path / "f.warc.gz"
+    path.write_bytes(b"".join(records))
+    got = warc.read_warc(spark, [(f"file://{path}", path.stat().st_size)]).orderBy("offset").collect()
+    assert [(r.record_type, bytes(r.payload), r.payload_bytes) for r in got] == [("response", b"body", 4), ("response", b"other", 5), ("revisit", b"", -1), ("revisit", b"", -1)]
+
+
 def test_broken_members_are_skipped(tmp_path):
     records = [warc.encode_record(warc.Record(i, "u", "response", None, 5, hashlib.sha1(b"%05d" % i).hexdigest(), b"%05d" % i)) for i in range(4)]
     path = tmp_path / "x.warc.gz"
@@ -323,6 +373,25 @@ def test_linked_rows_move_together(spark):
     assert np.mean([len(s) for s in where.values()]) < 1.7  # five places by chance give about 3.9
 
 
+def test_propagation_cuts_fewer_links(spark):
+    """Links between documents of different shards, against documents that stay where their hash puts them."""
+    rng = np.random.default_rng(2)
+    rows = [(i, f"group {rng.integers(0, 120)}" if i % 3 else f"single {i}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(frame, 10).collect()}
+    start = {r.doc_id: r.s for r in frame.select("doc_id", F.pmod(F.shiftright(F.xxhash64(F.lit("row"), "doc_id", "text"), 8), F.lit(10)).alias("s")).collect()}
+    groups = defaultdict(list)
+    for i, text in rows:
+        groups[text].append(i)
+
+    def cut(shard):
+        sizes = [Counter(shard(i) for i in members) for members in groups.values()]
+        return sum(sum(c.values()) ** 2 - sum(v * v for v in c.values()) for c in sizes)
+
+    assert cut(lambda i: found[i][0]) < 0.4 * cut(lambda i: start[i])
+    assert sorted(Counter(s for s, _ in found.values()).values()) == [300] * 10 and len(set(found.values())) == 3000
+
+
 # --- 7 ---------------------------------------------------------------------------------------------
 
 
@@ -458,6 +527,37 @@ def test_rules_equal_brute_force(odd, docs):
     assert quality_rules.judge(empty(odd)).count() == 0
 
 
+def test_verdicts_equal_brute_force(spark, docs, odd):
+    """Histograms, references and distances by plain counting."""
+    import unicodedata
+
+    kinds = lambda c: 4 if c in quality_rules.SPACE else 5 if c in quality_rules.STOPS else {"Ll": 0, "Lu": 1, "Nd": 3, "Nl": 3, "No": 3, "Zs": 4}.get(g := unicodedata.category(c), 2 if g[0] in "LM" and g != "Me" else 6 if g[0] in "SP" else 7)
+    common = set(quality_rules.COMMON_WORDS)
+
+    def distance(p, q):
+        n, m = sum(p.values()), sum(q.values())
+        if not n or not m:
+            return 0.0
+        mean = {k: (p[k] / n + q[k] / m) / 2 for k in {*p, *q}}
+        part = lambda x, s: sum(x[k] / s * np.log2(x[k] / s / mean[k]) for k in x if x[k])
+        return float(np.sqrt(max(0.0, (part(p, n) + part(q, m)) / 2)))
+
+    strange = spark.createDataFrame([(5000, "漢字😀９９ ！" * 40, "en"), (5001, "#$% " * 80, "de"), (5002, "xx " * 200, "zz")], "doc_id long, text string, lang string")
+    for df in (odd.select("doc_id", "text", "lang"), docs.select("doc_id", "text", "lang").limit(80).unionByName(strange)):
+        rows = [(r.doc_id, r.text or "", r.lang) for r in df.collect()]
+        chars = [Counter(map(kinds, t)) for _, t, _ in rows]
+        words = [Counter(w if (w := x.strip(quality_rules.STOPS).lower()) in common else "" for x in WORD.findall(t)) for _, t, _ in rows]
+        refs = {k: (sum((c for c, r in zip(chars, rows, strict=True) if r[2] == k), Counter()), sum((c for c, r in zip(words, rows, strict=True) if r[2] == k), Counter())) for k in {r[2] for r in rows} - {None}}
+        want = Counter()
+        for (d, t, lang), c, w in zip(rows, chars, words, strict=True):
+            near = [refs[lang]] if lang is not None else list(refs.values())
+            far = [min((distance(x, ref[i]) for ref in near), default=0.0) for i, x in ((0, c), (1, w))]
+            n, _, _, _, again = brute_rules(t)
+            kept = n >= 50 and 100 * again <= 50 * n and not (len(t) >= 200 and far[0] > 0.25) and not (n >= 100 and far[1] > 0.36)
+            want[(d, kept, round(far[0], 5), round(far[1], 5))] += 1
+        assert Counter((r.doc_id, r.kept, round(r.char_distance, 5), round(r.word_distance, 5)) for r in quality_rules.judge(df).collect()) == want
+
+
 def test_divergence_drops_symbols_and_keeps_prose(spark, docs):
     prose = docs.where("lang = 'en' and n_chars between 1500 and 4000").orderBy("doc_id").limit(5)
     junk = prose.withColumns({"doc_id": F.col("doc_id") + 100_000, "text": F.regexp_replace("text", " ", "#### ")})
@@ -493,6 +593,42 @@ def test_quality_on_held_out(spark):
     assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in rows]) > 0.93
 
 
+def test_quality_scores_equal_brute_force(spark, docs, odd):
+    import zstandard
+
+    model = quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    size = lambda d, x: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+
+    def brute(text):
+        data = (text or "").encode()
+        n = max(1, round(len(data) / 512))
+        parts = [data[len(data) * i // n : len(data) * (i + 1) // n] for i in range(n)]
+        gap = (sum(size(model.bad, p) for p in parts) - sum(size(model.good, p) for p in parts)) / (len(data) + 64)
+        d = min(5.0, max(-5.0, gap / model.scale))
+        return 1 / (1 + np.exp(-sum(w * d**k for k, w in enumerate(model.weights))))
+
+    for df in (odd, docs.limit(60)):
+        # a compressor that has a dictionary ready may choose its parameters otherwise than one that loads it: a few bytes
+        gaps = [abs(r.score - brute(r.text)) for r in quality_classifier.score(df.select("doc_id", "text"), model).collect()]
+        assert np.mean(gaps) < 0.02
+
+
+def test_newton_does_not_diverge():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 1)) * 40
+    features = np.concatenate([np.ones((400, 1)), x, x**2, x**3], axis=1)
+    y = (x[:, 0] > 3).astype(float)
+    w = quality_classifier.logistic(features, y)
+    assert np.isfinite(w).all() and np.mean((features @ w > 0) == (y == 1)) > 0.95
+
+
+def test_pieces_come_from_the_whole_text():
+    text = b"".join(b"%07d " % i for i in range(100_000))
+    got = quality_classifier.spread(text)
+    assert len(got) == quality_classifier.PIECES and got[0] == text[:4096] and text.endswith(got[-1])
+    assert b"".join(quality_classifier.windows(text)) == text and quality_classifier.windows(b"") == [b""]
+
+
 def test_quality_of_odd_rows(spark, odd, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality_classifier.train(docs, labels)
