@@ -58,6 +58,23 @@ def spelling(words: DataFrame, min_df: int = 2, min_length: int = 4) -> DataFram
     return known.select(F.explode(T.deletes(F.col("term"))).alias("delete_key"), "term", "df")
 
 
+#: What a stored segment holds; given to the readers, so that none has to open a file for it.
+STORED = {
+    "postings": "term string, docid long, tf long, positions array<int>, bucket int",
+    "lexicon": "term string, df long",
+    "doc_stats": "docid long, dl long",
+    "sums": "n long, total long",
+    "surface": "token string",
+}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @dataclass
 class Index:
     """Statistics count every document, buried ones too, until a segment is rewritten."""
@@ -67,10 +84,11 @@ class Index:
     lexicon: DataFrame
     doc_stats: DataFrame
     corpus_stats: DataFrame
+    tokens: DataFrame | None = None
 
     def surface(self, tokens: DataFrame) -> DataFrame:
         """token: those of the given tokens (a small table) that stand in some document."""
-        every = self.docs.select(F.explode(T.tokenize(F.col("text"))).alias("token"))
+        every = self.docs.select(F.explode(T.tokenize(F.col("text"))).alias("token")) if self.tokens is None else self.tokens
         return every.join(tokens.select("token").distinct(), "token", "left_semi").distinct()
 
     def stored(self) -> Index:
@@ -80,18 +98,23 @@ class Index:
         return Index(*(materialise(getattr(self, name), name) for name in ("docs", "postings", "lexicon", "doc_stats", "corpus_stats")))
 
     def save(self, path: str, buckets: int = 64) -> None:
-        """Writes the index; postings by buckets of terms, sorted, so a query reads the row groups of its terms."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        """Writes one segment's facts; postings by buckets of terms, sorted, so a query reads the row groups of its terms."""
+        spark, bucket = self.docs.sparkSession, F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
         by_term = self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term", "docid")
         by_term.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        lexicon(self.docs.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/lexicon")
-        corpus_stats(self.docs.sparkSession.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        lexicon(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/lexicon")
+        surface(self.docs).write.mode("overwrite").parquet(f"{path}/surface")
+        spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).write.mode("overwrite").parquet(f"{path}/sums")
 
     @classmethod
-    def load(cls, spark, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "lexicon", "doc_stats", "corpus_stats")))
+    def load(cls, docs: DataFrame, paths: list[str]) -> Index:
+        """The index of all segments: their facts add up, so no segment is ever indexed twice."""
+        read = lambda name: _union([docs.sparkSession.read.schema(STORED[name]).parquet(f"{p}/{name}") for p in paths])
+        words = read("lexicon").groupBy("term").agg(F.sum("df").alias("df"))
+        sums = read("sums").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        stats = sums.select("n", F.greatest(F.lit(1.0), F.coalesce(F.col("total") / F.col("n"), F.lit(1.0))).alias("avgdl"))
+        return cls(docs, read("postings").drop("bucket"), words, read("doc_stats"), stats, read("surface"))
 
     @classmethod
     def build(cls, docs: DataFrame, wanted: DataFrame | None = None) -> Index:

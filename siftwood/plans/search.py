@@ -93,16 +93,16 @@ def query_words(queries: DataFrame, index: Index, config: Config) -> DataFrame:
     return materialise(lexical.repaired_query_terms(said, index) if config.repair else lexical.query_terms(said), "words")
 
 
-def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), tombstones: DataFrame | None = None, context: DataFrame | None = None, ivf: dense.InvertedFile | None = None) -> DataFrame:
+def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), tombstones: DataFrame | None = None, context: DataFrame | None = None, ivf: dense.InvertedFile | None = None, words: DataFrame | None = None) -> DataFrame:
     """query_id, docid, rank, raw_cos, bm25_raw, norm, conf: the fused candidates after filters.
 
     Sources filter before the top k of both channels, so a filter never costs results. context: (query_id,
     term) of each session's last query, searched with a lower weight in the same source. ivf: vectors have the
     list_id it has assigned; queries without a source then search the nearest lists only, and more of them
-    where these give too little.
+    where these give too little. words: query_words() of the queries, if they are at hand.
     """
     asked = parsed(queries)
-    terms = query_words(queries, index, config)
+    terms = query_words(queries, index, config) if words is None else words
     wanted_phrases = asked.select("query_id", F.posexplode("phrases").alias("phrase_id", "p")).select("query_id", "phrase_id", T.norm_terms(F.col("p")).alias("terms")).where(F.size("terms") > 0)
 
     bonus = lexical.phrase_bonus(wanted_phrases, index)
@@ -158,8 +158,16 @@ def pool(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: Da
 
 def search(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), feedback: DataFrame | None = None, corrections: DataFrame | None = None, tombstones: DataFrame | None = None, context: DataFrame | None = None, ivf: dense.InvertedFile | None = None) -> DataFrame:
     """query_id, place, docid, text, raw_cos, conf, ltr, margin, zone of the best k candidates."""
-    found = materialise(pool(queries, index, vectors, query_vectors, config, tombstones, context, ivf), "pool")
     words = query_words(queries, index, config)
+    found = materialise(pool(queries, index, vectors, query_vectors, config, tombstones, context, ivf, words), "pool")
+    rows = featured(found, words, index, vectors, query_vectors, feedback)
+    ranked = fusion.rerank(rows, config.weights, corrections, config.k)
+    ranked = ranked.withColumn("raw_cos", F.coalesce("raw_cos", F.lit(0.0)))
+    return ranked.join(fusion.verdicts(ranked), "query_id").select("query_id", "place", "docid", "text", "raw_cos", "conf", "ltr", "margin", "zone")
+
+
+def featured(found: DataFrame, words: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, feedback: DataFrame | None = None) -> DataFrame:
+    """found (query_id, docid, heading, raw_cos, bm25_raw, ...) with the rerank features, and the document's text."""
     asked = words.groupBy("query_id").agg(F.collect_set("term").alias("query_terms"))
     rare = index.lexicon.where("df = 1").select("term").join(words, "term").groupBy("query_id").agg(F.collect_set("term").alias("rare_terms"))
     docs = index.docs
@@ -174,9 +182,23 @@ def search(queries: DataFrame, index: Index, vectors: DataFrame, query_vectors:
     rows = rows.withColumn("query_terms", F.coalesce("query_terms", F.array().cast("array<string>")))
     rows = rows.withColumn("rare", F.coalesce(F.arrays_overlap("rare_terms", "doc_terms"), F.lit(False))).withColumn("dense_raw", F.col("raw_cos"))
     rows = rows.join(feedback.select("docid", F.col("feedback").alias("dan")), "docid", "left") if feedback is not None else rows.withColumn("dan", F.lit(0.0))
-    ranked = fusion.rerank(fusion.features(rows), config.weights, corrections, config.k)
-    ranked = ranked.withColumn("raw_cos", F.coalesce("raw_cos", F.lit(0.0)))
-    return ranked.join(fusion.verdicts(ranked), "query_id").select("query_id", "place", "docid", "text", "raw_cos", "conf", "ltr", "margin", "zone")
+    return fusion.features(rows)
+
+
+def event_features(events: DataFrame, index: Index, vectors: DataFrame, query_vectors: DataFrame, config: Config = Config(), feedback: DataFrame | None = None) -> DataFrame:
+    """seq, docid, f: the rerank features of every document shown in events (seq, q, shown) of the journal.
+
+    Scores come from the first ``channel`` hits of either kind; what lies beyond them has none.
+    """
+    queries = events.select(F.col("seq").alias("query_id"), F.col("q").alias("text"))
+    words = query_words(queries, index, config)
+    sparse = lexical.bm25(words, index, config.channel).select("query_id", "docid", F.col("score").alias("bm25_raw"))
+    near = dense.topk(query_vectors, vectors, config.channel).select("query_id", "docid", F.col("score").alias("raw_cos"))
+    shown = events.select(F.col("seq").alias("query_id"), F.explode(F.array_distinct(F.concat("shown", F.array("picked")))).alias("docid"))
+    heads = index.docs.select("docid", F.col("heading") if "heading" in index.docs.columns else F.lit(None).cast("string").alias("heading"))
+    found = shown.join(sparse, ["query_id", "docid"], "left").join(near, ["query_id", "docid"], "left").join(heads, "docid")
+    rows = featured(found, words, index, vectors, query_vectors, feedback)
+    return rows.select(F.col("query_id").alias("seq"), "docid", F.array(*(F.col(c).cast("double") for c in fusion.FEATURES)).alias("f"))
 
 
 def ask(query_vectors: DataFrame, vectors: DataFrame, docs: DataFrame, config: Config = Config(), inactive: DataFrame | None = None) -> DataFrame:

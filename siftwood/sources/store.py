@@ -36,15 +36,21 @@ class Store:
         fs, path = self._path(name)
         if not fs.exists(path):
             return default
-        lines = self.spark.read.text(str(path)).collect()
-        return json.loads("\n".join(r[0] for r in lines))
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     # segments
     def manifest(self) -> dict:
         return self.read_note("CURRENT", {"version": 1, "segments": []})
 
+    def size(self) -> int:
+        return sum(s["n"] for s in self.manifest()["segments"])
+
     def append(self, docs: DataFrame) -> int:
-        """Writes docs (text and the like, no docid) as a new segment with docids that go on from the last one.
+        """Writes docs (text and the like, no docid) as a new segment with docids that go on from the last one; returns its rows.
 
         Docids are dense and follow the rows' order (source, row, line, page, text), which neighbour lookups rely on.
         """
@@ -61,14 +67,19 @@ class Store:
         numbered = self.spark.createDataFrame(rows, T.StructType([T.StructField("docid", T.LongType()), *schema.fields]))
         numbered.write.mode("overwrite").parquet(path)
         n = self.spark.read.parquet(path).count()
-        manifest["segments"].append({"name": f"segment={number}", "n": n})
-        self.write_note("CURRENT", manifest)
+        if n:  # the next segment takes the place of an empty one
+            manifest["segments"].append({"name": f"segment={number}", "n": n})
+            found = self.spark.read.option("basePath", f"{self.root}/segments").parquet(path).schema
+            manifest.setdefault("schema", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found))  # no reader has to look it up
+            self.write_note("CURRENT", manifest)
         return n
 
-    def documents(self) -> DataFrame | None:
-        """All committed segments; None where there is none."""
-        names = [f"{self.root}/segments/{s['name']}" for s in self.manifest()["segments"]]
-        return self.spark.read.option("basePath", f"{self.root}/segments").parquet(*names) if names else None
+    def documents(self, segment: str | None = None) -> DataFrame | None:
+        """All committed segments, or one; None where there is none."""
+        names = [f"{self.root}/segments/{s['name']}" for s in self.manifest()["segments"] if segment in (None, s["name"])]
+        read = self.spark.read.option("basePath", f"{self.root}/segments")
+        schema = self.manifest().get("schema")
+        return (read.schema(schema) if schema else read).parquet(*names) if names else None
 
     def bury(self, docids: DataFrame) -> None:
         docids.select(F.col("docid").cast("long").alias("docid")).distinct().write.mode("append").parquet(f"{self.root}/tombstones")

@@ -141,14 +141,14 @@ def test_zones(spark):
 
 
 def test_answers(spark):
-    text = "В 1910 году Морган обнаружил мутанта с белыми глазами. Эксперименты с белоглазкой привели к открытию сцепления генов с полом."
-    other = "Морган сформулировал хромосомную теорию наследственности в 1915 году. Вместе с ним работали студенты: Стёртевант, Мёллер и Бриджес."
-    asked = ["кто обнаружил мутанта с белыми глазами?", "в каком году Морган обнаружил мутанта?", "перескажи про хромосомную теорию", "ничего общего xyz"]
+    text = "В 1867 году Ильин открыл пещеру с озером. Поход к пещере дал начало местному музею камней."
+    other = "Ильин описал подземные реки края в 1872 году. Вместе с ним шли проводники: Савельев, Крылов и Тимофеев."
+    asked = ["кто открыл пещеру с озером?", "в каком году Ильин открыл пещеру?", "перескажи про подземные реки", "ничего общего xyz"]
     chunks = spark.createDataFrame([(i, q, k, t) for i, q in enumerate(asked) for k, t in enumerate((text, other))], "query_id int, query string, rank int, text string")
     got = {r.query_id: r for r in answers.extract(chunks).collect()}
-    assert (got[0].type, got[0].answer) == ("name", "Морган")
-    assert (got[1].type, got[1].answer) == ("year", "1910")
-    assert got[2].type == "thing" and "хромосомную" in got[2].answer
+    assert (got[0].type, got[0].answer) == ("name", "Ильин")
+    assert (got[1].type, got[1].answer) == ("year", "1867")
+    assert got[2].type == "thing" and "подземные" in got[2].answer
     assert 3 not in got
 
 

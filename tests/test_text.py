@@ -22,13 +22,30 @@ def test_tokens(spark):
 
 
 STEMS = {
-    "арбалета": "арбалет", "белоглазки": "белоглазк", "работающими": "работа", "белыми": "бел", "синими": "син", "сила": "сила", "силы": "сил",
-    "дрозофилы": "дрозофил", "грибовидное": "грибовидн", "трудно": "трудн", "белым": "белым", "дом": "дом",
+    "корабля": "корабл", "читающими": "чита", "синими": "син", "сила": "сила", "силы": "сил", "лесные": "лесн", "громко": "громк", "красным": "красным", "дом": "дом", "учиться": "учить",
     "walking": "walk", "heroes": "hero", "studies": "study", "running": "run", "hoped": "hop", "stopped": "stopp", "boxes": "box", "quickly": "quick",
     "glass": "glass", "bus": "bus", "cats": "cat", "x1s": "x1s", "2020": "2020",
 }
 
 
+def brute_stem_ru(word):
+    """One suffix at a time, as the rule reads."""
+    if len(word) <= 3:
+        return word
+    if len(word) > 4 and word[-2:] in ("ся", "сь"):
+        word = word[:-2]
+    for s in T.RU_SUFFIXES:
+        if word.endswith(s):
+            return word[: -len(s)] if len(word) - len(s) >= 3 else word
+    return word
+
+
+def test_russian_stems_equal_brute_force(spark):
+    bases = ("", "а", "ст", "вод", "камен", "перелив", "лес")
+    words = sorted({b + s + r for b in bases for s in T.RU_SUFFIXES for r in ("", "ся", "сь")} - {""})
+    assert column(spark, words, T.stem) == [brute_stem_ru(w) for w in words]
+
+
 def test_stems(spark):
     assert column(spark, list(STEMS), T.stem) == list(STEMS.values())
 
@@ -70,7 +87,7 @@ def test_citation_skips_what_is_unknown(spark):
     assert row.c == "a.md · heading H · line 3"
 
 
-@pytest.mark.parametrize("a,b,d", [("арбалет", "орболет", 2), ("вихрь", "вихрь", 0), ("книга", "книгв", 1), ("ab", "ba", 1), ("ca", "abc", 3), ("", "abcd", 3)])
+@pytest.mark.parametrize("a,b,d", [("телега", "тилего", 2), ("берег", "берег", 0), ("крыша", "крыша!", 1), ("ab", "ba", 1), ("ca", "abc", 3), ("", "abcd", 3)])
 def test_edit_distance(a, b, d):
     assert V.osa(a, b) == d
 
