@@ -21,6 +21,23 @@ def probe(rows: DataFrame, ridge: float = 1e-3, rounds: int = 100):
     return model, model.transform(rows.where("held_out")).select("docid", "label", "prediction")
 
 
+def weights(model) -> DataFrame:
+    """class, intercept, coefficients of a fitted probe: what a store keeps of it. A binary probe has the row of class 1 only."""
+    from pyspark.sql import SparkSession
+
+    table, shift = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    rows = [(i if len(table) > 1 else 1, float(b), [float(x) for x in row]) for i, (row, b) in enumerate(zip(table, shift, strict=True))]
+    return SparkSession.active().createDataFrame(rows, "class int, intercept double, coefficients array<double>")
+
+
+def predicted(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """docid, prediction of rows (docid, vec) by stored weights: the class with the largest sum, or for a binary probe whether it is above 0."""
+    dot = F.aggregate(F.zip_with("vec", "coefficients", lambda a, b: a.cast("double") * b), F.col("intercept"), lambda s, x: s + x)
+    each = rows.select("docid", "vec").crossJoin(F.broadcast(stored)).select("docid", "class", dot.alias("s"))  # one row a class
+    best = each.groupBy("docid").agg(F.max_by("class", F.struct("s", -F.col("class"))).alias("c"), F.max("s").alias("s"), F.count("*").alias("n"))
+    return best.select("docid", F.when(F.col("n") > 1, F.col("c")).otherwise((F.col("s") > 0).cast("int")).cast("double").alias("prediction"))
+
+
 def accuracy(predicted: DataFrame) -> DataFrame:
     """One row: n, accuracy, and for two classes precision and recall of class 1."""
     right, said, true = F.col("label") == F.col("prediction"), F.col("prediction") == 1, F.col("label") == 1

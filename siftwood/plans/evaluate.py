@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import json
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwood.operators import dense, evaluation, feedback, fusion, lexical
 from siftwood.operators.index import Index
+from siftwood.plans import search as plans
 from siftwood.scratch import materialise
 
 
@@ -38,9 +38,67 @@ def calibrate(gold: DataFrame, near: DataFrame, sparse: DataFrame) -> dict[str,
     return out
 
 
-def write_calibration(path: str, values: dict) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(values, f, ensure_ascii=False, indent=1)
+def calibration_table(spark: SparkSession, values: dict[str, float]) -> DataFrame:
+    """name, value: what a store keeps of a calibration (``store.save(calibration=...)``)."""
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(values.items())], "name string, value double")
+
+
+INVENTED = [a + b for a in ("квал", "мерт", "сю", "дрок", "торб", "аль", "прим", "хав") for b in ("андор", "ивен", "сель", "овин")]
+WONDERS = ("о чём говорится в {} и при чём тут {}", "кто такой {} и чем занят {}", "расскажи про {} и {}", "как {} повлиял на {}")
+
+
+def novel_questions(spark: SparkSession, n: int = 60, seed: int = 0) -> DataFrame:
+    """query_id (below 0), text: questions about invented words, which no corpus can answer."""
+    rng = np.random.default_rng(seed)
+    pairs = [rng.choice(len(INVENTED), 2, replace=False) for _ in range(n)]
+    return spark.createDataFrame([(-i - 1, WONDERS[i % len(WONDERS)].format(INVENTED[a], INVENTED[b])) for i, (a, b) in enumerate(pairs)], "query_id long, text string")
+
+
+def recogniser_rows(photos: DataFrame, vectors: DataFrame, k: int = 40) -> DataFrame:
+    """query_id, gold, other: the best cosine of a photo's own species and of any other among its k nearest, 0 without one.
+
+    photos: (query_id, vec, species), held out; vectors: (docid, vec, species) of the stored photos.
+    """
+    near = dense.topk(photos, vectors, k).join(vectors.select("docid", F.col("species").alias("found")), "docid").join(photos.select("query_id", "species"), "query_id")
+    own = F.col("found") == F.col("species")
+    best = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(c, F.col("score"))), F.lit(0.0)))
+    return near.groupBy("query_id").agg(best(own).alias("gold"), best(~own).alias("other"))
+
+
+def recogniser_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, tp, fp, fn, precision, recall of rows (gold, other): a photo is right above the threshold, and wrong where another species is, or wins."""
+    each = rows.select(F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"), "gold", "other")
+    over = F.col("gold") >= F.col("threshold")
+    wrong = ((F.col("other") >= F.col("threshold")) & ~over) | (over & (F.col("gold") < F.col("other")))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sums = each.groupBy("threshold").agg(one(over).alias("tp"), one(wrong).alias("fp"), one(~over).alias("fn"))
+    ratio = lambda a, b: a / F.greatest(F.lit(1), b)
+    return sums.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+
+
+def journal_accuracy(journal: DataFrame, features: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """One row: how often the picked document has the best rerank score of those shown. features: (seq, docid, f)."""
+    score = F.aggregate(F.zip_with("f", F.array(*(F.lit(float(w)) for w in weights)), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    confirmed = journal.where("sign > 0").select("seq", "picked", F.explode("shown").alias("docid"))
+    return evaluation.pairwise_accuracy(confirmed.join(features.select("seq", "docid", score.alias("score")), ["seq", "docid"]))
+
+
+def scale(spark: SparkSession, n: int = 30_000, asked: int = 150) -> dict[str, float]:
+    """Seconds to index and embed n facts and to search them, and recall at 1 and 10 of quotations of the facts."""
+    import time
+
+    rows = materialise(facts(spark, n).select("docid", "text"), "facts")
+    began = time.perf_counter()
+    index, (model, vectors) = Index.build(rows).stored(), dense.fit_and_embed(rows)
+    vectors = materialise(vectors, "vectors")
+    built = time.perf_counter()
+    quoted = F.array_join(F.slice(F.split("text", " "), 3, 7), " ")
+    queries = materialise(rows.orderBy(F.xxhash64("docid"), "docid").limit(asked).select(F.col("docid").alias("query_id"), quoted.alias("text")), "quoted")  # the feature: a report over so many probes
+    found = materialise(plans.search(queries, index, vectors, model.embed(queries).select("query_id", "vec"), plans.Config(k=10)), "found")
+    searched = time.perf_counter()
+    place = found.where("docid = query_id").agg(F.coalesce(F.sum(F.when(F.col("place") == 0, 1).otherwise(0)), F.lit(0)).alias("first"), F.count("*").alias("ten")).first()
+    total = max(1, queries.count())
+    return {"stored": rows.count(), "build_s": built - began, "search_s": searched - built, "r_at_1": place["first"] / total, "r_at_10": place["ten"] / total}
 
 
 NAMES = [f"Имя{i}" for i in range(30)]
@@ -72,7 +130,7 @@ def capacity(spark: SparkSession, sizes: list[int], asked: int = 300, conf: tupl
         wanted = model.embed(rows.where(F.col("docid") < asked).select(F.col("docid").alias("query_id"), F.col("question").alias("text")))
         wanted = materialise(feedback.codes(wanted.select("query_id", "vec")), "asked")
         first = dense.topk(wanted, stored, 1).withColumn("conf", calibrated(F.col("score"), *conf))
-        novel = model.embed(spark.createDataFrame([(-i - 1, f"zq{i} vx{i * 7} совсем {i * 13} иное") for i in range(asked)], "query_id long, text string"))
+        novel = model.embed(novel_questions(spark, asked))
         novel = feedback.codes(novel.select("query_id", "vec"))
         learned = materialise(feedback.trace(stored.select((F.col("docid") + 1).alias("ordinal"), "vec", "cells", F.lit(1.0).alias("amount")), decay=0.0), "trace")
         known = feedback.familiarity(wanted.unionByName(novel), learned)

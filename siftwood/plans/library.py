@@ -129,21 +129,21 @@ class Library:
         if n < self.settings.ivf_from:
             return
         if part == "all" or n >= 2 * note["n"]:
-            part, note = "all", {"n": n, "path": f"{self.root}/lists/n={n}"}
+            part, note = "all", {"n": n, "path": f"lists/n={n}"}
             fitted = dense.InvertedFile.fit(self.vectors())
             rows = [(i, v.tolist()) for i, v in enumerate(fitted.centroids)]
-            self.spark.createDataFrame(rows, "list_id int, vec array<float>").write.mode("overwrite").parquet(f"{note['path']}/centroids")
+            self.spark.createDataFrame(rows, "list_id int, vec array<float>").write.mode("overwrite").parquet(f"{self.root}/{note['path']}/centroids")
         else:
             fitted = self.lists()
         vectors = self.vectors() if part == "all" else self.spark.read.parquet(f"{self.root}/vectors/fit={self.store.read_note('EMBEDDER')['fit']}/{part}")
-        fitted.assign(vectors).sortWithinPartitions("list_id").write.mode("overwrite").parquet(f"{note['path']}/assigned/{part}")
+        fitted.assign(vectors).sortWithinPartitions("list_id").write.mode("overwrite").parquet(f"{self.root}/{note['path']}/assigned/{part}")
         self.store.write_note("LISTS", note)
 
     def lists(self) -> dense.InvertedFile | None:
         note = self.store.read_note("LISTS")
         if not note:
             return None
-        rows = self.spark.read.parquet(f"{note['path']}/centroids").orderBy("list_id").toPandas()  # 256 at most
+        rows = self.spark.read.parquet(f"{self.root}/{note['path']}/centroids").orderBy("list_id").toPandas()  # 256 at most
         return dense.InvertedFile(np.stack(rows["vec"].to_numpy()).astype(np.float32))
 
     def embedder(self) -> dense.Embedder | None:
@@ -160,7 +160,7 @@ class Library:
 
     def listed(self) -> DataFrame:
         """The vectors with their lists."""
-        path = self.store.read_note("LISTS")["path"]
+        path = f"{self.root}/{self.store.read_note('LISTS')['path']}"
         return self.spark.read.schema("docid long, vec array<float>, list_id int").option("recursiveFileLookup", "true").parquet(f"{path}/assigned")
 
     def remove_source(self, part: str) -> int:
@@ -330,6 +330,13 @@ class Library:
             out["refit"] = 1
         return out
 
+    def bundle(self, target: str) -> Library:
+        """The whole library copied to another folder, as it stands."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        source, copy = jvm.org.apache.hadoop.fs.Path(self.root), jvm.org.apache.hadoop.fs.Path(target)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
+        return Library(self.spark, target, self.settings)
+
     def health(self) -> dict[str, int]:
         docs, segments = self.store.documents(), len(self.store.manifest()["segments"])
         names = ("n_docs", "n_live", "n_images", "n_sources", "n_species")

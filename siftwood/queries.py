@@ -796,6 +796,35 @@ def q10_capacity(spark, sf_dir):
     return evaluate.capacity(spark, [500, 1000, 2500, 5000, 10000, 20000])
 
 
+SPECIES_THRESHOLDS = [round(0.3 + 0.05 * i, 2) for i in range(14)]
+
+
+@query(f"""WITH p AS (SELECT vec_id AS query_id, embedding AS q, label FROM embeddings WHERE vec_id % 100 = 0),
+v AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 100 <> 0),
+s AS (SELECT query_id, p.label AS want, v.label, vec_id, round(list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM p, v),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 40),
+g AS (SELECT query_id, greatest(0, coalesce(max(score) FILTER (WHERE label = want), 0)) AS gold, greatest(0, coalesce(max(score) FILTER (WHERE label <> want), 0)) AS other FROM n GROUP BY query_id),
+t AS (SELECT CAST(unnest({SPECIES_THRESHOLDS}) AS DOUBLE) AS threshold),
+c AS (SELECT threshold, count(*) FILTER (WHERE gold >= threshold) AS tp, count(*) FILTER (WHERE (other >= threshold AND gold < threshold) OR (gold >= threshold AND gold < other)) AS fp, count(*) FILTER (WHERE gold < threshold) AS fn FROM g, t GROUP BY threshold)
+SELECT threshold, tp, fp, fn, round(tp / CAST(greatest(1, tp + fp) AS DOUBLE), 6) AS precision, round(tp / CAST(greatest(1, tp + fn) AS DOUBLE), 6) AS recall FROM c""")
+def q10_recogniser_sweep(spark, sf_dir):
+    """The query set stands for held-out photos, the other vectors for the stored ones."""
+    from siftwood.plans import evaluate
+
+    rows = embeddings(spark, sf_dir).withColumnRenamed("label", "species")
+    photos = rows.where("docid % 100 = 0").withColumnRenamed("docid", "query_id")
+    swept = evaluate.recogniser_sweep(evaluate.recogniser_rows(photos, rows.where("docid % 100 <> 0")), SPECIES_THRESHOLDS)
+    return swept.withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+
+
+@query()
+def a26_binary_probe(spark, sf_dir):
+    """Accuracy, precision and recall of a two-class probe on labelled vectors, held out."""
+    from siftwood.operators import probing
+
+    return probing.accuracy(probing.probe(probing.split(embeddings(spark, sf_dir), F.col("label") % 2))[1])
+
+
 @query()
 def a27_linear_probe(spark, sf_dir):
     """Accuracy of a multinomial probe on labelled vectors, held out."""

@@ -250,3 +250,35 @@ def test_capacity_asks_as_many_as_the_reference(spark, monkeypatch):
 def test_calibrated_threshold(spark):
     rows = spark.createDataFrame([(0.9, True), (0.8, True), (0.7, False)], "score double, right boolean")
     assert evaluation.pick_threshold(evaluation.sweep(rows, [0.6, 0.75, 0.85])).first().threshold == 0.75
+
+
+def test_stored_probe_predicts_alike(spark):
+    from siftwood.operators import probing
+
+    rng = np.random.default_rng(0)
+    for classes in (2, 3):
+        centre = rng.normal(size=(classes, 6))
+        rows = spark.createDataFrame([(i, [float(v) for v in centre[i % classes] + 0.3 * rng.normal(size=6)], i % classes) for i in range(150)], "docid long, vec array<float>, label int")
+        model, held = probing.probe(probing.split(rows, F.col("label")))
+        again = probing.predicted(rows, probing.weights(model))
+        assert held.withColumnRenamed("prediction", "said").join(again, "docid").where("said <> prediction").count() == 0
+        assert probing.accuracy(held).first().accuracy > 0.9
+
+
+def test_novel_questions_are_unlike_facts(spark):
+    from siftwood.plans import evaluate
+
+    asked = [r.text for r in evaluate.novel_questions(spark, 40).collect()]
+    known = {w for r in evaluate.facts(spark, 500).collect() for w in r.text.lower().split()}
+    assert len(asked) == 40 and not any(w in known for t in asked for w in t.split() if w in evaluate.INVENTED)
+    saved = {r.name: r.value for r in evaluate.calibration_table(spark, {"a": 2, "b": -1.5}).collect()}
+    assert saved == {"a": 2.0, "b": -1.5}
+
+
+def test_journal_accuracy(spark):
+    from siftwood.plans import evaluate
+
+    journal = spark.createDataFrame([(0, [1, 2], 1, 1), (1, [1, 2], 2, 1), (2, [1, 2], 2, -1)], "seq long, shown array<long>, picked long, sign int")
+    features = spark.createDataFrame([(s, d, [float(d == 1), 0.5]) for s in range(3) for d in (1, 2)], "seq long, docid long, f array<double>")
+    row = evaluate.journal_accuracy(journal, features, (1.0, 1.0)).first()
+    assert (row.accuracy, row.n) == (0.5, 2)

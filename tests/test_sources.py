@@ -33,6 +33,13 @@ def test_folder_of_five_formats(spark, tmp_path):
     }
 
 
+def test_long_cells_and_broken_lines(spark):
+    body = "name,note\n" + "x" * 140_000 + ",y\n" + '"open\n' + "a,b\n"
+    rows = spark.createDataFrame([("p", "csv", body)], "path string, ext string, body string")
+    got = {r.row: r.text for r in files.csv_rows(rows).collect()}
+    assert got[1].endswith("| note: y") and len(got[1]) > 140_000 and got[3] == "name: a | note: b"
+
+
 def test_species(spark, tmp_path):
     for name, card, image in (("Amanita", "ядовит: да", b"1"), ("Boletus", "ядовит: неизвестно", b"1")):
         (tmp_path / name).mkdir()
