@@ -30,13 +30,24 @@ def weighted_sentences(chunks: DataFrame, top: int = 3) -> DataFrame:
     return rated.groupBy("query_id", "query", "sentence").agg(F.max("w").alias("w"), F.max_by("rank", best).alias("rank"), F.min(F.struct("rank", "at")).alias("seen"))
 
 
-def _entities(sentences: DataFrame, pattern: str, group: int, kinds: tuple[str, ...], names: bool) -> DataFrame:
-    """query_id, type, value, score of the entities found for questions of some kinds; a value in the query is no answer."""
-    each = sentences.where(F.col("type").isin(*kinds)).select("query_id", "query", "type", "w", "rank", "seen", "sentence", F.explode(T.entities(F.col("sentence"), pattern, group)).alias("value"))
+# What a question of a kind is answered by: pattern, group, whether words that are no names go, and its turn.
+_SOUGHT = (("place", T.PLACE, 1, False, 0), ("place", T.NAME, 0, True, 1), ("name", T.NAME, 0, True, 0), ("year", T.YEAR, 1, False, 0), ("number", T.NUMBER, 0, False, 0))
+
+
+def _entities(sentences: DataFrame) -> DataFrame:
+    """query_id, type, value, score, seen of the entities a question asks for; a value in the query is no answer.
+
+    A pattern of a later turn counts only where those before have found nothing for the query.
+    """
+    none = F.array().cast("array<string>")
+    tried = F.array(*(F.struct(F.lit(turn).alias("turn"), F.lit(names).alias("names"), F.when(F.col("type") == kind, T.entities(F.col("sentence"), pattern, group)).otherwise(none).alias("values")) for kind, pattern, group, names, turn in _SOUGHT))
+    each = sentences.select("query_id", "query", "type", "w", "rank", "seen", "sentence", F.explode(tried).alias("t"))
+    each = each.select("*", "t.turn", "t.names", F.explode("t.values").alias("value"))
     low = F.lower("value")
     known = F.lower("query").contains(low)
     opens = F.col("sentence").startswith(F.col("value")) & low.isin(*STARTERS)
-    kept = each.where((F.length("value") > 2) & ~known & ~opens & (~low.isin(*NOT_NAMES) if names else F.lit(True)))
+    kept = each.where((F.length("value") > 2) & ~known & ~opens & ~(F.col("names") & low.isin(*NOT_NAMES)))
+    kept = kept.withColumn("first", F.min("turn").over(W.partitionBy("query_id"))).where("turn = first")
     far = F.max("rank") - F.min("rank") >= 2
     return kept.groupBy("query_id", "type", "value").agg((F.sum("w") * F.when(far, 1.5).otherwise(1.0)).alias("score"), F.min("seen").alias("seen"))
 
@@ -48,18 +59,17 @@ def extract(chunks: DataFrame, top: int = 3) -> DataFrame:
     entity) by the heaviest sentence if it weighs more than 1. Ties go to what stands first.
     """
     sentences = weighted_sentences(chunks, top).withColumn("type", T.question_type(F.col("query")))
-    places = _entities(sentences, T.PLACE, 1, ("place",), False)
-    found = _entities(sentences, T.NAME, 0, ("name",), True)
-    fallback = _entities(sentences.join(places.select("query_id").distinct(), "query_id", "left_anti"), T.NAME, 0, ("place",), True)
-    found = found.unionByName(places).unionByName(fallback).unionByName(_entities(sentences, T.YEAR, 1, ("year",), False)).unionByName(_entities(sentences, T.NUMBER, 0, ("number",), False))
+    found = _entities(sentences)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("seen"), F.asc("value"))
     best = found.withColumn("place", F.row_number().over(order)).where("place = 1").select("query_id", F.col("value").alias("answer"), "score")
     proof = sentences.join(best, "query_id").where(F.contains("sentence", "answer")).groupBy("query_id").agg(F.min_by("sentence", "seen").alias("evidence"))
     entity = best.join(proof, "query_id", "left").select("query_id", "answer", F.coalesce("evidence", F.lit("")).alias("evidence"), F.round(F.least(F.lit(0.95), 0.45 + 0.18 * F.col("score")), 2).alias("conf"))
-    heaviest = sentences.join(entity.select("query_id"), "query_id", "left_anti").groupBy("query_id").agg(F.max_by(F.struct("sentence", "w"), F.struct("w", (-F.col("seen.rank")).alias("r"), (-F.col("seen.at")).alias("a"))).alias("s"))
-    sentence = heaviest.where("s.w > 1").select("query_id", F.col("s.sentence").alias("answer"), F.col("s.sentence").alias("evidence"), F.lit(0.5).alias("conf"))
-    types = sentences.select("query_id", "type").distinct()
-    return entity.unionByName(sentence).join(types, "query_id").select("query_id", "type", "answer", "evidence", "conf")
+    heaviest = sentences.groupBy("query_id", "type").agg(F.max_by(F.struct("sentence", "w"), F.struct("w", (-F.col("seen.rank")).alias("r"), (-F.col("seen.at")).alias("a"))).alias("s"))
+    whole = F.when(F.col("s.w") > 1, F.col("s.sentence"))
+    both = heaviest.join(entity, "query_id", "left").withColumn("by_entity", F.col("conf").isNotNull())
+    pick = lambda a, b: F.when(F.col("by_entity"), a).otherwise(b)
+    rows = both.select("query_id", "type", pick(F.col("answer"), whole).alias("answer"), pick(F.col("evidence"), whole).alias("evidence"), pick(F.col("conf"), F.lit(0.5)).alias("conf"))
+    return rows.where(F.col("answer").isNotNull())
 
 
 # How an answer is worded in each zone.

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from siftwood import scratch
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,4 +16,5 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    scratch.clean(s)
     s.stop()
