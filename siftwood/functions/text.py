@@ -115,8 +115,10 @@ def stem_en(word: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """By the first character: Cyrillic, Latin, or unchanged."""
-    return F.when(word.rlike("^[а-я]"), stem_ru(word)).when(word.rlike("^[a-z]"), stem_en(word)).otherwise(word)
+    """By the first character: Cyrillic, Latin, or unchanged. Comparisons come first: most words keep their form."""
+    cyrillic = (word >= "а") & (word < "ѐ")  # the letter after я
+    latin = (word >= "a") & (word < "{") & (word.endswith("s") | word.endswith("ing") | word.endswith("ed") | word.endswith("ly"))
+    return F.when(F.length(word) <= 3, word).when(latin, stem_en(word)).when(cyrillic, stem_ru(word)).otherwise(word)
 
 
 def norm_terms(text: Column) -> Column:
