@@ -265,6 +265,22 @@ def test_stored_probe_predicts_alike(spark):
         assert probing.accuracy(held).first().accuracy > 0.9
 
 
+def test_probe_after_an_observed_query(spark):
+    from pyspark.sql import Observation
+
+    from siftwood.operators import probing
+
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 5
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, [float(v) for v in (2 * (i % 2) - 1) + 0.3 * rng.normal(size=4)], i % 2) for i in range(100)], "docid long, vec array<float>, label int")
+    model, held = probing.probe(probing.split(rows, F.col("label")))
+    vectors, table, shift = {r.docid: r.vec for r in rows.collect()}, model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    got = held.collect()
+    assert got and all(r.prediction == float(np.dot(table[0], vectors[r.docid]) + shift[0] > 0) for r in got)
+
+
 def test_novel_questions_are_unlike_facts(spark):
     from siftwood.plans import evaluate
 
