@@ -3,7 +3,8 @@
 Documents are sets of five-word shingles. Equal sets go on as one. Several independent trees then branch the
 sets: a node chooses a few minwise coordinates by its level and tree, and each sends a set to the child named
 by its minimum there, so similar sets tend to stay together. Nodes whose sets are connected already, or that
-have the same members as another, end at once. Small nodes are compared exhaustively on full sets. A large
+have the same members as another, end at once. Most sets that meet share one minimum by chance: all minima and
+the sizes tell these apart before any set is fetched. Small nodes are compared exhaustively on full sets. A large
 node of sets alike does not fall apart: its sets are compared with some pivots first, and those outside the
 component that results with every set of the node, block by block. The first tree goes ahead of the others,
 which find most nodes connected and only look for what it has missed. Comparisons hand on a star for each
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +48,22 @@ class Join:
     def coordinates(self) -> int:
         return self.trees * self.branches * self.levels
 
+    @property
+    def agreeing(self) -> int:
+        """The coordinates in which two sets agree at least: a pair at the least similarity has fewer with a probability below UNLIKE."""
+        s, below = self.percent / 100, 0.0
+        for k in range(self.coordinates):
+            below += comb(self.coordinates, k) * s**k * (1 - s) ** (self.coordinates - k)
+            if below > UNLIKE:
+                return k
+        return self.coordinates
+
 
 #: Sets that a large node's sets are held against first, and parts that the copies of one set are dealt to.
 PIVOTS = 8
 COPY_SALTS = 16
+#: Of linked pairs that meet, the share that their minima may part: a thousandth of what the trees miss.
+UNLIKE = 1e-9
 SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, minima array<int>"
 
 
@@ -85,7 +99,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             data = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id")
     return arrow_map(texts, cut, "doc_id long, shingles binary")
 
 
@@ -107,6 +121,46 @@ def open_nodes(rows: DataFrame) -> DataFrame:
     return salted_join(rows, once.select("node", "n", "weight"), "node", "doc_id")
 
 
+def near_by_minima(minima: np.ndarray, sizes: np.ndarray, how: Join) -> np.ndarray:
+    """Which sets of one node have another there that they may link with: by sizes none else can, by minima see Join.agreeing."""
+    near, step = np.zeros(len(sizes), bool), max(1, (1 << 22) // minima.size)
+    for low in range(0, len(sizes), step):
+        part = slice(low, low + step)
+        pairs = (minima[part, None] == minima).sum(2) >= how.agreeing
+        pairs &= 100 * np.minimum(sizes[part, None], sizes) >= how.percent * np.maximum(sizes[part, None], sizes)
+        near[part] = pairs.sum(1) > 1  # one is the set itself
+    return near
+
+
+def likely(rows: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
+    """The rows (tree, node, doc_id, size, c) of nodes that near_by_minima keeps. No node has more sets than a block."""
+    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["tree", "node", "doc_id", "size", "c"]
+    met = rows.select(*names).join(sets.select("doc_id", "minima").hint("merge"), "doc_id").select(*names, "minima").repartition(width, "node").sortWithinPartitions("node")
+
+    def kept(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        minima, sizes, nodes = table["minima"].combine_chunks().flatten().to_numpy(), table["size"].to_numpy(), table["node"].to_numpy()
+        minima, ends = minima.reshape(-1, how.coordinates), np.append(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1, len(nodes))
+        near = [near_by_minima(minima[a:b], sizes[a:b], how) for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
+        yield from table.select(names).filter(pa.array(np.concatenate(near))).combine_chunks().to_batches()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last node's rows so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            others = np.flatnonzero(table["node"].to_numpy() != table["node"][-1].as_py())
+            full = int(others[-1]) + 1 if len(others) else 0
+            if full:
+                yield from kept(table.slice(0, full))
+            held = table.slice(full)
+        if held is not None:
+            yield from kept(held)
+
+    return arrow_map(met, pick, rows.select(*names).schema)
+
+
 def settle(rows: DataFrame, sets: DataFrame, how: Join) -> tuple[DataFrame, DataFrame | None]:
     """(node, doc_id) of the small nodes, and (tree, node, doc_id, n, weight) of the large ones that stay so; None without any.
 
@@ -120,15 +174,15 @@ def settle(rows: DataFrame, sets: DataFrame, how: Join) -> tuple[DataFrame, Data
         return small, None
     wide = materialise(wide.join(sets.select("doc_id", "minima").hint("merge"), "doc_id"), "wide")
     for level in range(1, how.levels):
-        kids = children(wide, level, how)
-        work = kids.groupBy("parent", "node").agg(F.count("*").alias("k")).groupBy("parent").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
+        work = children(wide, level, how).groupBy("parent", "node").agg(F.count("*").alias("k")).groupBy("parent").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
         sizes = wide.groupBy("node").agg(F.first("n").alias("n")).withColumnRenamed("node", "parent")
         parting = materialise(work.join(sizes.hint("merge"), "parent").where("2 * work < n * n").select("parent"), "parting")
         stay = salted_join(wide, parting.withColumnRenamed("parent", "node"), "node", "doc_id", "left_anti").select("tree", "node", "doc_id", "size", "c", "n", "weight")
         ends = stay if ends is None else ends.unionByName(stay)
         if parting.isEmpty():
             return small, ends
-        found = materialise(open_nodes(salted_join(kids, parting, "parent", "doc_id", "left_semi")), f"level{level}")
+        kids = children(salted_join(wide, parting.withColumnRenamed("parent", "node"), "node", "doc_id", "left_semi"), level, how)
+        found = materialise(open_nodes(kids), f"level{level}")
         small = small.unionByName(found.where(~big).select("node", "doc_id"))
         wide = found.where(big)
     wide = wide.select("tree", "node", "doc_id", "size", "c", "n", "weight")
@@ -251,7 +305,9 @@ def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """
     paths = F.flatten(F.array(*(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(k), F.get("minima", k)).alias("node")) for k in range(t * how.levels * how.branches, (t * how.levels + 1) * how.branches))) for t in range(how.trees))))
     rows = sets.select("doc_id", F.col("n_shingles").alias("size"), F.col("doc_id").alias("c"), F.explode(paths).alias("p")).select("p.tree", "p.node", "doc_id", "size", "c")
-    level = materialise(open_nodes(rows), "level0")
+    met = materialise(open_nodes(rows), "level0")
+    names, few = ["tree", "node", "doc_id", "size", "c"], F.col("n") <= how.block
+    level = materialise(open_nodes(likely(met.where(few), sets, how).unionByName(met.where(~few).select(*names))), "likely")
     pool = materialise(stored_sets(docs, materialise(level.select("doc_id").distinct(), "involved")), "pool")
     both = lambda nodes: nodes.withColumn("side", F.lit(0))
 

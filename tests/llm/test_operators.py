@@ -335,6 +335,26 @@ def test_components_equal_brute_force(spark, odd, docs, how):
             assert r.component_id == want[r.doc_id] and r.kept == (r.doc_id is None or r.component_id == r.doc_id)
 
 
+def test_sets_that_share_one_minimum_are_not_fetched(spark):
+    """Two sets in one node by chance go, two that may link stay, also where a batch ends within a node."""
+    how = near_dedup.Join()
+    rng = np.random.default_rng(3)
+    other = rng.integers(0, 1 << 30, (5, how.coordinates))
+    other[1, 0] = other[0, 0]  # one minimum in common
+    other[3, : how.agreeing] = other[2, : how.agreeing]
+    other[4] = other[2]  # all minima, but too unlike in size
+    sizes = [100, 100, 100, 100, 84]
+    sets = spark.createDataFrame([(i, [int(v) for v in other[i]]) for i in range(5)], "doc_id long, minima array<int>")
+    rows = spark.createDataFrame([(0, 7, i, sizes[i], i) for i in range(5)] + [(1, 8, i, sizes[i], i) for i in (0, 2, 3)], "tree int, node long, doc_id long, size long, c long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = sorted((r.node, r.doc_id) for r in near_dedup.likely(rows, sets, how).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(7, 2), (7, 3), (8, 2), (8, 3)]
+    assert near_dedup.likely(rows.where("false"), sets, how).count() == 0
+
+
 def test_components_of_no_rows(odd):
     assert near_dedup.near_duplicates(empty(odd)).count() == 0
 
