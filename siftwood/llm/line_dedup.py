@@ -2,9 +2,10 @@
 
 A first pass counts documents per distinct line hash. The hashes of lines in two documents or more go to
 shards; one task per shard builds a minimal perfect hash and, in its order, arrays of fingerprints, document
-counts and the document that keeps the line. The counts decide: the index serves any threshold. Documents then send
-packets of their line hashes to the shards and probe the arrays; only the positions of lines to
-drop come back. Lines themselves are never shuffled, and no shard is ever on the driver.
+counts and the document that keeps the line. The counts decide: the index serves any threshold. The line
+hashes of many documents go to the shards in common packets, so the work follows the lines, however many
+shards there are, and probe the arrays; only the positions of lines to drop come back. Lines themselves
+are never shuffled, and no shard is ever on the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from siftwood.llm.shared import arrow_map, content_key, materialise, mix, text_s
 MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 32_768
+#: Lines of one packet at most, and of the packets that a task hands on at once.
+PACKET_LINES, SENT_LINES = 512, 1 << 16
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -87,25 +90,33 @@ class Shard:
         self.index = PerfectHash(arrays["sizes"], arrays["bits"])
         self.print, self.count, self.keeper, self.nobody = (arrays[k] for k in ("print", "count", "keeper", "nobody"))
 
-    def drops(self, h1: np.ndarray, h2: np.ndarray, doc_id: int | None, min_docs: int) -> np.ndarray:
-        """Which of a document's line hashes lose their lines."""
+    def drops(self, h1: np.ndarray, h2: np.ndarray, doc_id: np.ndarray, has_id: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which line hashes lose their lines; doc_id, has_id: of each one's document."""
         at = self.index.find(h1.view(np.uint64))
         known = (at >= 0) & (self.print[at] == h2) & (self.count[at] >= min_docs) & ~self.nobody[at]
-        return known if doc_id is None else known & (self.keeper[at] != doc_id)
+        return known & ~(has_id & (self.keeper[at] == doc_id))
 
 
-def line_hashes(texts: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text the numbers of the lines whose key is long enough, and 128-bit hashes of these keys as an n x 2 array."""
+def line_hashes(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines whose key is long enough, in order: their texts' numbers, their own, and 128-bit hashes of the keys as an n x 2 array."""
     lists = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     offsets = np.asarray(lists.offsets, np.int64)
+    offsets = offsets - offsets[0]
     keys = pc.ascii_lower(pc.utf8_trim(lists.flatten(), characters=BLANK))
     lengthy = pc.greater_equal(pc.utf8_length(keys), min_chars).to_numpy(zero_copy_only=False)
     wanted = np.flatnonzero(lengthy)
     digests = b"".join(xxhash.xxh3_128_digest(k) for k in keys.filter(pa.array(lengthy)).cast(pa.binary()).to_pylist())
-    hashes = np.frombuffer(digests, np.int64).reshape(-1, 2)
-    cuts = np.searchsorted(wanted, offsets)
-    for begin, end, first in zip(cuts[:-1].tolist(), cuts[1:].tolist(), offsets[:-1].tolist(), strict=True):
-        yield wanted[begin:end] - first, hashes[begin:end]
+    rows = np.searchsorted(offsets, wanted, "right") - 1
+    return rows, wanted - offsets[rows], np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of the columns differs from the one before; the first always does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -113,10 +124,11 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets = [np.unique(h, axis=0) for _, h in line_hashes(batch.column("text"), min_chars)]
-            rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
-            both = np.concatenate([*sets, np.zeros((0, 2), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column("doc_id").take(rows)], ["h1", "h2", "doc_id"])
+            rows, _, hashes = line_hashes(batch.column("text"), min_chars)
+            h1, h2 = hashes[:, 0], hashes[:, 1]
+            order = np.lexsort((h2, h1, rows))
+            once = order[changes(rows[order], h1[order], h2[order])]  # a document counts once, however often it has the line
+            yield pa.RecordBatch.from_arrays([pa.array(h1[once]), pa.array(h2[once]), batch.column("doc_id").take(pa.array(rows[once]))], ["h1", "h2", "doc_id"])
 
     found = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keys, "h1 long, h2 long, doc_id long")
     return found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
@@ -152,43 +164,58 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     blobs = materialise(exact.groupBy("shard").applyInPandas(build, "shard int, packed binary"), "shards")
     salted = spark.createDataFrame([(i, int(n)) for i, n in enumerate(salts)], "shard int, salts int")
-    blobs = blobs.join(F.broadcast(salted), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "packed", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(None).cast("long").alias("doc_id"))
+    blobs = blobs.join(F.broadcast(salted), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "packed")
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            k1, k2, ids = (batch.column(k).to_pylist() for k in ("k1", "k2", "doc_id"))
+            rows, lines, hashes = line_hashes(batch.column("text"), min_chars)
+            if not len(rows):
+                continue
+            k1, k2, ids = (pc.fill_null(batch.column(k), 0).to_numpy() for k in ("k1", "k2", "doc_id"))
+            has_id = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            shard = np.mod(hashes[:, 1], shards)
+            order = np.argsort(shard, kind="stable")
+            begins = np.flatnonzero(changes(shard[order])).tolist()
+            parts = [order[i : min(i + PACKET_LINES, end)] for begin, end in zip(begins, [*begins[1:], len(order)], strict=True) for i in range(begin, end, PACKET_LINES)]
             out: list[tuple] = []
-            for row, (lines, hashes) in enumerate(line_hashes(batch.column("text"), min_chars)):
-                if not len(lines):
-                    continue
-                shard = np.mod(hashes[:, 1], shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.flatnonzero(np.diff(shard[order])) + 1
-                for part in np.split(order, cuts):
-                    s = int(shard[part[0]])
-                    payload = lines[part].astype(np.int64).tobytes() + hashes[part, 0].tobytes() + hashes[part, 1].tobytes()
-                    out.append((s, (k1[row] ^ k1[row] >> 32) % int(salts[s]), 1, payload, k1[row], k2[row], ids[row]))
+            held = 0
+            for part in parts:
+                of, s = rows[part], int(shard[part[0]])
+                # the salt hangs on what the packet holds, so that a task that runs again sends it to the same place
+                salt = int(k1[of[0]] ^ hashes[part[0], 0]) % int(salts[s])
+                out.append((s, salt, 1, np.stack([k1[of], k2[of], ids[of], has_id[of], lines[part], hashes[part, 0], hashes[part, 1]]).tobytes()))
+                held += len(part)
+                if held >= SENT_LINES:
+                    yield packet_rows(out)
+                    out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), PACKET.types, strict=True)], schema=PACKET)
+                yield packet_rows(out)
 
-    kind = "shard int, salt int, kind int, packed binary, k1 long, k2 long, doc_id long"
     keyed = docs.select(*(c.alias(n) for c, n in zip(content_key(F.col("doc_id"), F.col("text")), ("k1", "k2"), strict=True)), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = arrow_map(keyed, packets, kind)
+    sent = arrow_map(keyed, packets, "shard int, salt int, kind int, packed binary")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = None
+        shard, met = None, []
         for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for kind, packed, k1, k2, doc_id in zip(*(batch.column(k).to_pylist() for k in ("kind", "packed", "k1", "k2", "doc_id")), strict=True):
+            for kind, packed in zip(batch.column("kind").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 if kind == 0:
-                    shard = Shard(packed)
-                elif shard is not None:
-                    lines, h1, h2 = np.frombuffer(packed, np.int64).reshape(3, -1)
-                    gone = shard.drops(h1, h2, doc_id, min_docs)
-                    if gone.any():
-                        out.append((k1, k2, lines[gone].tolist()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["k1", "k2", "gone"])
+                    yield from found(shard, met)
+                    shard, met = Shard(packed), []
+                else:
+                    met.append(np.frombuffer(packed, np.int64).reshape(7, -1))
+            yield from found(shard, met)
+            met = []
+
+    def found(shard: Shard | None, met: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if shard is None or not met:
+            return
+        k1, k2, ids, has_id, lines, h1, h2 = np.concatenate(met, axis=1)
+        gone = np.flatnonzero(shard.drops(h1, h2, ids, has_id != 0, min_docs))
+        if len(gone):
+            gone = gone[np.lexsort((k2[gone], k1[gone]))]
+            begins = np.flatnonzero(changes(k1[gone], k2[gone]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(gone)).astype(np.int32)), pa.array(lines[gone]))
+            yield pa.RecordBatch.from_arrays([pa.array(k1[gone][begins]), pa.array(k2[gone][begins]), lists], ["k1", "k2", "gone"])
 
     # a shard's blob comes before its packets; a shard without keys has no blob, and whatever it meets instead knows none of its hashes
     probed = sent.unionByName(blobs).repartition(width, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
@@ -202,7 +229,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__sw_gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-PACKET = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64())])
+PACKET = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary())])
+
+
+def packet_rows(packets: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*packets, strict=True), PACKET.types, strict=True)], schema=PACKET)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

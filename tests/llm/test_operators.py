@@ -200,6 +200,24 @@ def test_lines_of_no_rows(odd):
     assert line_dedup.dedup_lines(empty(odd)).count() == 0
 
 
+def test_line_packets_are_shared_by_documents(spark, monkeypatch):
+    seen = {}
+
+    def watched(df, step, schema, real=line_dedup.arrow_map):
+        seen[step.__name__] = real(df, step, schema)
+        return seen[step.__name__]
+
+    monkeypatch.setattr(line_dedup, "arrow_map", watched)
+    texts = ["\n".join(f"line {(7 * d + j) % 300} of those that stand in many documents" for j in range(6)) + "\nx" * (d % 3) for d in range(1500)]
+    texts[5] = "\n".join(["one line that a long text holds a few thousand times", "a"] * 3000)
+    texts[6] = texts[7] = texts[5].split("\n")[0]
+    df = spark.createDataFrame([(None if d == 40 else d // 2, t) for d, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df, shard_keys=16).collect())
+    assert got == Counter(brute_lines([(r.doc_id, r.text) for r in df.collect()]))
+    shards = 1 + 301 // 16
+    assert seen["packets"].count() <= 2 * shards + (6 * 1500 + 3000) // 512
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64))
     index = line_dedup.PerfectHash.build(keys)
