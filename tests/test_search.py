@@ -79,6 +79,17 @@ def test_spelling_keys_of_long_terms(spark, monkeypatch):
     assert {r.delete_key: (r.n, r.df) for r in queries.QUERIES["a6_spelling_keys"](spark, "").collect()} == want
 
 
+def test_headed_chunks_of_texts_with_heading_lines(spark, monkeypatch):
+    from siftwood import queries
+
+    texts = ["# One. Two! Three?\nFour. Five.", "One.\n  ## Two.\n\t#\tThree.", "One.\r\n### Two. Three.", "", " \n ", None, "#", "Five. #six"]
+    rows = [(i, t, None if i == 7 else f"src{i % 2}", "en") for i, t in enumerate(texts)]
+    monkeypatch.setattr(queries, "documents", lambda *_: spark.createDataFrame(rows, "docid long, text string, source string, lang string"))
+    # one run of sentences a text: as many windows of two as the SQL counts
+    want = {(0, "src0", 4), (1, "src1", 2), (2, "src0", 2), (6, "src0", 1), (7, None, 1)}
+    assert {tuple(r) for r in queries.QUERIES["t11_headed_chunks"](spark, "").collect()} == want
+
+
 def test_operators_are_parsed_alike(spark):
     texts = ['source:a.txt огонь -вода "алая заря" heading:Глава', "просто", "", 'x "-y z" source:', "-"]
     rows = plans.parsed(spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")).orderBy("query_id").collect()
